@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.functions.workers import ship
+
 #: A word: a run of anything but space and the five control blanks.
 BLANK = r"[\x20\x09-\x0D]+"
 
@@ -37,3 +41,9 @@ def words(text) -> F.Column:
 def row_id() -> F.Column:
     """Place of a row in its scan: partition in the upper bits, position below."""
     return F.monotonically_increasing_id()
+
+
+def in_pandas(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``df.mapInPandas`` with this package importable on the executors."""
+    ship(df.sparkSession)
+    return df.mapInPandas(f, schema)

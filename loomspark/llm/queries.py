@@ -23,7 +23,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sharding, op8_quality_rules)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import hex_print, near_groups
+
+    out = near_groups(table(spark, sf_dir, "documents"), k=3)
+    return out.select("doc_id", hex_print("fp").alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sharding, op8_quality_rules, op9_simhash)}
 
 ORACLES: dict[str, str] = {}
 
