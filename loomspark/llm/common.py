@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +48,9 @@ def in_pandas(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
     """``df.mapInPandas`` with this package importable on the executors."""
     ship(df.sparkSession)
     return df.mapInPandas(f, schema)
+
+
+def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package importable on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
