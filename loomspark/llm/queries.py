@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,25 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"), width=35)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sharding, op8_quality_rules, op9_simhash, op4_substring_dedup)}
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import best_fit
+
+    return best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .encoding import digest
+
+    return digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sharding, op8_quality_rules, op9_simhash, op4_substring_dedup, op1_packing, op5_bpe, op6_token_counts)}
 
 ORACLES: dict[str, str] = {}
 
