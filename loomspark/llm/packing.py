@@ -34,10 +34,7 @@ from .common import cut, in_pandas
 CAPACITY = 1024
 END_ID = 2
 #: Groups of large lengths, and the share of the capacity from which a length is large.
-GROUPS, LARGE = 160, 1 / 8
-
-#: Fewest pieces a group, so that rounding down loses little.
-MEMBERS = 64
+GROUPS, LARGE = 320, 0.4
 
 #: Sequences of one kind: how many, and their (length, pieces) pairs.
 BinType = tuple[int, tuple[tuple[int, int], ...]]
@@ -130,7 +127,7 @@ def pack(histogram: dict[int, int], capacity: int = CAPACITY) -> list[BinType]:
     total = sum(c for _, c in large)
     opened: list[tuple[int, list[tuple[int, int]]]] = []
     if total:
-        share = max(MEMBERS, -(-total // GROUPS))
+        share = -(-total // GROUPS)
         groups: list[list[list[int]]] = [[]]
         room = share
         for n, c in large:
@@ -141,7 +138,7 @@ def pack(histogram: dict[int, int], capacity: int = CAPACITY) -> list[BinType]:
                 if not room:
                     groups.append([])
                     room = share
-        groups = [g for g in groups if g]
+        groups = [g for g in groups if g] if len(large) > GROUPS else [[r] for r in large]  # few lengths need no rounding
         # groups that round up to one length are one size
         merged: dict[int, list[list[int]]] = {}
         for g in groups:
