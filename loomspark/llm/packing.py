@@ -33,8 +33,8 @@ from .common import cut, in_pandas
 
 CAPACITY = 1024
 END_ID = 2
-#: Groups of large lengths, and the share of the capacity from which a length is large.
-GROUPS, LARGE = 320, 0.4
+#: Groups of large lengths with the share of the capacity from which a length is large; the settings are all tried.
+SETTINGS = ((320, 0.4), (160, 0.2))
 
 #: Sequences of one kind: how many, and their (length, pieces) pairs.
 BinType = tuple[int, tuple[tuple[int, int], ...]]
@@ -120,14 +120,18 @@ def _filled(bins: list[tuple[int, np.ndarray]], groups: list[list[list[int]]]) -
 
 
 def pack(histogram: dict[int, int], capacity: int = CAPACITY) -> list[BinType]:
-    """Bin types that hold every piece of ``histogram`` (length: count)."""
+    """Bin types that hold every piece of ``histogram`` (length: count), of the setting that needs the fewest sequences."""
+    return min((grouped(histogram, capacity, *s) for s in SETTINGS), key=lambda bins: sum(count for count, _ in bins))
+
+
+def grouped(histogram: dict[int, int], capacity: int, n_groups: int, from_share: float) -> list[BinType]:
     bins: list[BinType] = []
     left = {n: c for n, c in histogram.items() if c > 0}
-    large = [[n, c] for n, c in sorted(left.items(), reverse=True) if n >= capacity * LARGE]
+    large = [[n, c] for n, c in sorted(left.items(), reverse=True) if n >= capacity * from_share]
     total = sum(c for _, c in large)
     opened: list[tuple[int, list[tuple[int, int]]]] = []
     if total:
-        share = -(-total // GROUPS)
+        share = -(-total // n_groups)
         groups: list[list[list[int]]] = [[]]
         room = share
         for n, c in large:
@@ -138,7 +142,7 @@ def pack(histogram: dict[int, int], capacity: int = CAPACITY) -> list[BinType]:
                 if not room:
                     groups.append([])
                     room = share
-        groups = [g for g in groups if g] if len(large) > GROUPS else [[r] for r in large]  # few lengths need no rounding
+        groups = [g for g in groups if g] if len(large) > n_groups else [[r] for r in large]  # few lengths need no rounding
         # groups that round up to one length are one size
         merged: dict[int, list[list[int]]] = {}
         for g in groups:
