@@ -68,7 +68,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sharding, op8_quality_rules, op9_simhash, op4_substring_dedup, op1_packing, op5_bpe, op6_token_counts, op3_topk, op10_language)}
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify
+
+    out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id", "source", "lang"])
+    return out.select("doc_id", "source", "lang", F.col("_score").alias("score"), (F.col("_score") >= 0.5).alias("kept"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sharding, op8_quality_rules, op9_simhash, op4_substring_dedup, op1_packing, op5_bpe, op6_token_counts, op3_topk, op10_language, op7_quality_classifier)}
 
 ORACLES: dict[str, str] = {}
 
