@@ -28,11 +28,16 @@ def split_words(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_words", words(F.col("text")))
 
 
-def _word_chars() -> Column:
-    return F.char_length(F.array_join("_words", "")).cast("long")
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once: the optimizer copies a column's expression into each of its uses, but not this."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _symbols() -> Column:
+def _word_chars(w: Column) -> Column:
+    return F.char_length(F.array_join(w, "")).cast("long")
+
+
+def _symbols(w: Column) -> Column:
     return F.coalesce(F.regexp_count("text", F.lit(r"[#*$%&|<>]")), F.lit(0)).cast("long")
 
 
@@ -40,7 +45,7 @@ def _lines() -> Column:
     return F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _dup_lines() -> Column:
+def _dup_lines(w: Column) -> Column:
     return (F.size(_lines()) - F.size(F.array_distinct(_lines()))).cast("long")
 
 
@@ -48,18 +53,16 @@ def _dup_lines() -> Column:
 PACKED_WORDS = 1 << 15
 
 
-def _repeat_words() -> Column:
+def _repeat_words(w: Column) -> Column:
     """Words inside 3-word windows that the text has twice or more.
 
     Windows are sorted by hash and place; those with an equal neighbour repeat.  Each repeating window then adds the words
     up to the start of the next one, three at most.  Sorting plain numbers is far cheaper than sorting structs, so the place
     takes the low bits that the text's length needs and the hash the rest (49 bits at least).
     """
-    n, at, zero = F.size("_words"), F.get, F.lit(0).cast("long")
-    # transform over a one-element array binds a value once, where a column expression would be copied into each use
-    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    n, at, zero = F.size(w), F.get, F.lit(0).cast("long")
     bits = F.length(F.bin(n))
-    hashed = F.transform("_words", lambda w: F.xxhash64(w))
+    hashed = F.transform(w, lambda x: F.xxhash64(x))
     windows = lambda h, of: F.transform(F.sequence(F.lit(0), n - 3), lambda i: of(F.xxhash64(at(h, i), at(h, i + 1), at(h, i + 2)), i))
     beside = lambda s, key: F.filter(s, lambda x, i: (key(x) == key(at(s, i + 1))) | (key(x) == key(at(s, i - 1))))
     high = lambda x: F.call_function("shiftright", x, bits)
@@ -72,12 +75,12 @@ def _repeat_words() -> Column:
 
 
 #: Feature: its expression, and the sample column whose mean its work follows, with the work for each unit.
-FEATURES: Mapping[str, tuple[Callable[[], Column], str, float]] = {
-    "n_words": (lambda: F.size("_words").cast("long"), "one", 1),
+FEATURES: Mapping[str, tuple[Callable[[Column], Column], str, float]] = {
+    "n_words": (lambda w: F.size(w).cast("long"), "one", 1),
     "word_chars": (_word_chars, "chars", 0.2),
     "n_symbols": (_symbols, "chars", 1),
     "n_dup_lines": (_dup_lines, "chars", 1.5),
-    "n_lines": (lambda: F.size(_lines()).cast("long"), "chars", 1),
+    "n_lines": (lambda w: F.size(_lines()).cast("long"), "chars", 1),
     "n_repeat_words": (_repeat_words, "words", 60),
 }
 
@@ -105,7 +108,7 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
     """Rules with their rejection share and cost, best first; ties and an empty sample keep the given order."""
     share = min(1.0, sample_rows / max(1, docs.count()))
     seen = split_words(docs.select("text").sample(fraction=share, seed=7))
-    seen = seen.select(F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"), F.size("_words").alias("words"), *(F.coalesce(rule.fails({k: FEATURES[k][0]() for k in rule.needs}), F.lit(False)).cast("int").alias(f"r{i}") for i, rule in enumerate(rules)))
+    seen = seen.select(F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"), F.size("_words").alias("words"), *(F.coalesce(rule.fails({k: FEATURES[k][0](F.col("_words")) for k in rule.needs}), F.lit(False)).cast("int").alias(f"r{i}") for i, rule in enumerate(rules)))
     got = seen.agg(F.avg("chars").alias("chars"), F.avg("words").alias("words"), *(F.avg(f"r{i}").alias(f"r{i}") for i in range(len(rules)))).first()
     unit = {"one": 1.0, "chars": got["chars"] or 1.0, "words": got["words"] or 1.0}
     costed = [(rule, got[f"r{i}"] or 0.0, sum(FEATURES[k][2] * unit[FEATURES[k][1]] for k in rule.needs)) for i, rule in enumerate(rules)]
@@ -117,8 +120,9 @@ def verdict(rules: list[Rule], features: Mapping[str, Column] | None = None) ->
 
     ``features``: columns that are there already; without them each rule computes what it needs.
     """
-    f = features or {k: made() for k, (made, _, _) in FEATURES.items()}
-    chain = None
+    if features is None:
+        return bound(words(F.col("text")), lambda w: verdict(rules, {k: made(w) for k, (made, _, _) in FEATURES.items()}))
+    f, chain = features, None
     for rule in rules:
         chain = F.when(rule.fails(f), F.lit(rule.name)) if chain is None else chain.when(rule.fails(f), F.lit(rule.name))
     return chain if chain is not None else F.lit(None).cast("string")
@@ -130,14 +134,14 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Null and blank texts have no words and fail too_short.  A table without rows stays empty.  Other columns pass through.
     """
     ordered = [r for r, _, _ in order_rules(docs, rules)]
-    return split_words(docs).where(verdict(ordered).isNull()).drop("_words")
+    return docs.where(verdict(ordered).isNull())
 
 
 def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All features of every document, base_failed, and kept, the cascade's verdict."""
     ordered = [r for r, _, _ in order_rules(docs, rules)]
     rows = split_words(docs.select("doc_id", "text"))
-    rows = rows.select("doc_id", *(made().alias(k) for k, (made, _, _) in FEATURES.items()))
+    rows = rows.select("doc_id", *(made(F.col("_words")).alias(k) for k, (made, _, _) in FEATURES.items()))
     f = {k: F.col(k) for k in FEATURES}
     base = F.lit(False)
     for rule in BASE:

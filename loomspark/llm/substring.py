@@ -215,7 +215,10 @@ def digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``docs`` with the covered words taken out of the texts that have any; other texts and columns stay as they are."""
+    """``docs`` with the covered words taken out of the texts that have any; other texts and columns stay as they are.
+
+    A column n_chars, where there is one, follows a changed text.
+    """
     cleaned: Column = F.col("text")
     spanned = _with_spans(docs, width)
     gone = F.transform("spans", lambda s: F.struct(s["a"].alias("a"), (s["a"] + s["n"] + (width - 1)).alias("b")))
@@ -227,4 +230,7 @@ def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     n = F.size("_m")
     kept = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.slice("_w", F.coalesce(F.get("_m", i - 1)["b"], F.lit(0)) + 1, F.coalesce(F.get("_m", i)["a"], F.size("_w")) - F.coalesce(F.get("_m", i - 1)["b"], F.lit(0)))))
     cleaned = F.when(n > 0, F.array_join(kept, " ")).otherwise(F.col("text"))
-    return rows.withColumn("text", cleaned).select(*docs.columns)
+    rows = rows.withColumn("text", cleaned)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(n > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
