@@ -111,7 +111,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = SCALE,
         tree, at = Tree(v), np.flatnonzero(ids % every == 0)
         bound = tree.bounds(v[at])
         kth = [int(s[-1]) if len(s) == k else _LOW for s in (tree.search(v[i], bound[j], ids, ids[i], k, _LOW)[1] for j, i in enumerate(at))]
-        return pd.DataFrame({"query_id": ids[at], "kth": np.array(kth, dtype=np.int64), "v": [*v[at]], "dim": np.full(len(at), v.shape[1], dtype=np.int32)})
+        return pd.DataFrame({"query_id": ids[at], "kth": np.array(kth, dtype=np.int64), "v": pd.Series([*v[at]], dtype=object), "dim": np.full(len(at), v.shape[1], dtype=np.int32)})
 
     queries = rows.groupBy("shard", "dim").applyInPandas(own_shard, "query_id long, kth long, v array<long>, dim int")
     queries = cut(queries.dropDuplicates(["query_id", "dim"]))
