@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_pandas, words
+from .common import cut, in_arrow, in_pandas, words
 
 #: Labelled documents to learn from, on average; a bound, whatever the size of the input.
 SAMPLE_LABELS = 12_000
@@ -117,14 +118,15 @@ def evidence(docs: DataFrame, signs: Signs, columns: list[str]) -> DataFrame:
     """``columns`` of ``docs`` (text among them or not) with _poor and _toxic, the log odds of a text before sites count."""
     weights, prior = signs.weights, signs.prior
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [[weights[w] for w in features(t) & weights.keys()] for t in b["_text"]]
-            yield b.drop(columns="_text").assign(**{k: np.array([sum(x[i] for x in f) + prior[i] for f in found], dtype=float) for i, k in enumerate(("_poor", "_toxic"))})
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # columns go through as they are, text apart, which is the last
+            found = [[weights[w] for w in features(t) & weights.keys()] for t in b.column(b.num_columns - 1).to_pylist()]
+            odds = [pa.array([sum(x[i] for x in f) + prior[i] for f in found], type=pa.float64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *odds], [*b.schema.names[:-1], "_poor", "_toxic"])
 
     rows = docs.select(*columns, F.col("text").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", _poor double, _toxic double"
-    return in_pandas(rows, of, schema)
+    return in_arrow(rows, of, schema)
 
 
 def _bad(pull=0.0):
@@ -170,12 +172,15 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     """
     keep = docs.columns if keep is None else keep
     signs = learn(docs, labels, sample)
-    sited = docs.select(*keep, *([] if "text" in keep else ["text"]), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("_path"))
+    held = {c: f"_c{i}" for i, c in enumerate(keep)}  # whatever the columns are called
+    site = lambda c, name: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
+    sited = docs.select(*(F.col(c).alias(x) for c, x in held.items()), "text", site(host, "_host"), site(path, "_path"))
     pulls = site_odds(evidence(sited, signs, ["_host", "_path"]))
-    scored = evidence(sited, signs, [*keep, "_host", "_path"]).join(pulls, ["_host", "_path"])
-    return scored.select(*keep, (1 - _bad(F.col("pull"))).alias("_score"))
+    scored = evidence(sited, signs, [*held.values(), "_host", "_path"]).join(pulls, ["_host", "_path"])
+    return scored.select(*(F.col(x).alias(c) for c, x in held.items()), (1 - _bad(F.col("pull"))).alias("_score"))
 
 
 def apply_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
     """``docs`` whose share of being good reaches ``threshold``; same columns."""
-    return classify(docs, labels, **how).where(F.col("_score") >= threshold).select(*docs.columns)
+    scored = classify(docs, labels, **how)
+    return scored.toDF(*docs.columns, "\0score").where(F.col("`\0score`") >= threshold).select(*docs.columns)

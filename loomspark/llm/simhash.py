@@ -304,7 +304,7 @@ def near_dedup(docs: DataFrame, k: int = 5) -> DataFrame:
             yield pd.DataFrame({"_id": b["_id"], "_t1": b["_t1"], "_t2": b["_t2"], "name": np.array([f[0] for f in fp], dtype=np.uint64).view(np.int64), "fp": [f.tobytes() for f in fp]})
 
     body = F.coalesce(F.col("text"), F.lit(""))
-    named = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_t1": F.xxhash64(body), "_t2": F.xxhash64(F.lit("second"), body)})
+    named = docs.select(F.struct("*").alias("_row"), "text", F.col("doc_id").cast("long").alias("_id"), F.xxhash64(body).alias("_t1"), F.xxhash64(F.lit("second"), body).alias("_t2"))
     rows = cut(in_pandas(named.select("_id", "_t1", "_t2", "text"), of, "_id long, _t1 long, _t2 long, name long, fp binary"))
     prints = cut(rows.groupBy("name").agg(F.min("fp").alias("fp")))
     roots = components(similar(prints))
@@ -313,4 +313,4 @@ def near_dedup(docs: DataFrame, k: int = 5) -> DataFrame:
     stays = first.join(roots, first["name"] == roots["node"], "left").groupBy(F.coalesce("root", "name").alias("root")).agg(F.min("x").alias("x"))
     stays = stays.select(F.col("x._id").alias("i"), F.col("x._t1").alias("a"), F.col("x._t2").alias("b"))
     same = named["_id"].eqNullSafe(stays["i"]) & (named["_t1"] == stays["a"]) & (named["_t2"] == stays["b"])
-    return named.join(stays, same, "left_semi").dropDuplicates(["_id", "_t1", "_t2"]).select(*docs.columns)
+    return named.join(stays, same, "left_semi").dropDuplicates(["_id", "_t1", "_t2"]).select(*(F.col("_row")[c].alias(c) for c in docs.columns))

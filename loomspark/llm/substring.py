@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_arrow
+from .common import cut, in_arrow, in_pandas, words
 
 WIDTH = 35
 GRAM = 8
@@ -209,8 +209,6 @@ def digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             got = [(len(kept), gone, hashlib.sha256(b" ".join(kept)).hexdigest()) for kept, gone in (kept_words(t, s, width) for t, s in zip(b["text"], b["spans"], strict=True))]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_words": [k + g for k, g, _ in got], "n_removed": [g for _, g, _ in got], "kept_sha256": [x for _, _, x in got]})
 
-    from .common import in_pandas
-
     return in_pandas(_with_spans(docs.select("doc_id", "text"), width), of, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -219,18 +217,16 @@ def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     A column n_chars, where there is one, follows a changed text.
     """
-    cleaned: Column = F.col("text")
-    spanned = _with_spans(docs, width)
+    spanned = _with_spans(docs.select(F.struct("*").alias("_row"), "text"), width)  # whatever the columns are called
     gone = F.transform("spans", lambda s: F.struct(s["a"].alias("a"), (s["a"] + s["n"] + (width - 1)).alias("b")))
     # stretches of words between merged spans, left to right
     merged = F.aggregate(F.array_sort(gone), F.array().cast("array<struct<a:int,b:int>>"), lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= s["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], s["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(s))))
-    from .common import words
-
     rows = spanned.withColumn("_m", merged).withColumn("_w", words(F.col("text")))
     n = F.size("_m")
     kept = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.slice("_w", F.coalesce(F.get("_m", i - 1)["b"], F.lit(0)) + 1, F.coalesce(F.get("_m", i)["a"], F.size("_w")) - F.coalesce(F.get("_m", i - 1)["b"], F.lit(0)))))
     cleaned = F.when(n > 0, F.array_join(kept, " ")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", cleaned)
+    rows = rows.withColumn("_cleaned", cleaned)
+    new: dict[str, Column] = {"text": F.col("_cleaned")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(n > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(n > 0, F.char_length("_cleaned").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row")["n_chars"])
+    return rows.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))

@@ -34,7 +34,7 @@ SCHEMA = "doc_id long, text string, lang string, source string"
 def docs(spark, rows=None):
     """With columns whose names the operators might use themselves."""
     df = spark.createDataFrame(ROWS if rows is None else rows, SCHEMA).repartition(3)
-    return df.selectExpr("*", "length(text) AS n_chars", "1 AS size", "'x' AS run", "2 AS length", "3 AS rank", "4 AS shard", "'k' AS key", "5 AS fp", "6 AS a", "7 AS n")
+    return df.selectExpr("*", "length(text) AS n_chars", "1 AS size", "'x' AS run", "2 AS length", "3 AS rank", "4 AS shard", "'k' AS key", "5 AS fp", "6 AS a", "7 AS n", "8 AS t1", "9 AS spans", "10 AS pull", "11 AS _id", "12 AS _row", "13 AS _host", "14 AS _score", "15 AS _m", "16 AS root")
 
 
 def local(df):
