@@ -26,7 +26,7 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 SIGMA = ("Σ", "σ")
 #: Words kept in memory in each of two generations.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -54,7 +54,13 @@ class Automaton:
             c = self.ids[a + b]
             self.born[c], self.parts[c] = time, (self.ids[a], self.ids[b])
             self.merged[self.ids[a], self.ids[b]] = time
-        self.longest = max(len(t) - len(self.end) * t.endswith(self.end) for t in self.ids)
+        #: Length of the longest token by its last three symbols; tokens of one or two aren't in it.
+        self.longest: dict[str, int] = {}
+        for t in self.ids:
+            n = len(t) - len(self.end) * t.endswith(self.end)
+            if n > 2:
+                last = t[n - 3 :]
+                self.longest[last] = max(n, self.longest.get(last, 0))
         self.arcs: dict[tuple[int, int], bool] = {}
 
     def arc(self, u: int, v: int) -> bool:
@@ -82,13 +88,13 @@ class Automaton:
 
     def encode(self, word: str) -> list[int]:
         """Tokens of one word, in letters for bytes."""
-        ids, arc, n = self.ids, self.arc, len(word)
+        ids, arc, n, longest = self.ids, self.arc, len(word), self.longest
         ending: list[int] = [-1] * (n + 1)
         starts = [0] * (n + 1)
         for i in range(1, n + 1):
             tail = self.end if i == n else ""
-            for j in range(max(0, i - self.longest), i):
-                t = ids.get(word[j:i] + tail)
+            for j in range(max(0, i - longest.get(word[i - 3 : i] + tail, 2)) if i > 2 else 0, i):
+                t = ids.get(word[j:i] + tail if tail else word[j:i])
                 if t is not None and (j == 0 or arc(ending[j], t)):
                     ending[i], starts[i] = t, j
                     break
