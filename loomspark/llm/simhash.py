@@ -12,7 +12,9 @@ Components come from alternating star contraction over the links, with the rows
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -163,24 +165,30 @@ def hex_print(fp) -> F.Column:
 
 # Near-duplicate texts: longer fingerprints, for similarities at which 64 bits differ in more than a few.
 
-#: 64-bit words of a long fingerprint.  The first names it and sorts out pairs; the others hold PAIRS pairs of segments.
+#: 64-bit words of a long fingerprint.  The first sorts out pairs; the others hold PAIRS pairs of segments.
 WORDS, PAIRS = 7, 8
-#: Differing bits of the first word, and of all, up to which texts go as similar at 0.8 or more.  Measured on pairs of known
-#: similarity: at 0.8 to 0.85 an eighth of the bits differ on average, at 0.5 and less over a quarter.
-FIRST_BITS, ALL_BITS = 18, 62
-#: Rows under one key beyond which the key is split by those of the next pair of segments.
+#: Texts at this Jaccard similarity of their sets of shingles, or above, are copies.
+SIMILAR = 0.8
+#: Differing bits of the first word, and of all, beyond which a pair isn't compared.  Simulated at similarity 0.8 on 4 to 400
+#: shingles: 61 to 84 of all bits differ on average, 113 at most; what is nearer is decided by SIMILAR.
+FIRST_BITS, ALL_BITS = 22, 112
+#: Rows under one key beyond which they meet in pairs of chunks.
 LARGE_BUCKET = 20_000
 _EXPAND = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(WORDS)], dtype=np.uint64)
 
 
-def long_fingerprint(text: str | None, k: int = 5) -> np.ndarray:
-    """WORDS words of 64 bits, by the same rule as ``fingerprint``, each over other bits of the shingles' hashes."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def shingle_set(body: bytes, k: int = 5) -> np.ndarray:
+    """Sorted distinct XXH64 hashes of a text's ``k``-word shingles; ``body`` has the words with single blanks between them."""
+    w = body.split()
     if not w:
-        return np.zeros(WORDS, dtype=np.uint64)
-    shingles = [b" ".join(w)] if len(w) < k else map(b" ".join, zip(*(w[i:] for i in range(k)), strict=False))
+        return np.zeros(0, dtype=np.uint64)
+    shingles = [body] if len(w) < k else map(b" ".join, zip(*(w[i:] for i in range(k)), strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, 42) for s in shingles], dtype=np.uint64)
+    return np.unique(np.array([digest(s, 42) for s in shingles], dtype=np.uint64))
+
+
+def long_fingerprint(h: np.ndarray) -> np.ndarray:
+    """WORDS words of 64 bits of a set of hashes, by the same rule as ``fingerprint``, each over other bits of the hashes."""
     set_in = np.zeros(64 * WORDS, dtype=np.int64)
     for a in range(0, len(h), 1 << 12):
         part = h[a : a + (1 << 12), None] + _EXPAND
@@ -206,93 +214,125 @@ def pair_keys(prints: np.ndarray, pairs: range) -> tuple[np.ndarray, np.ndarray]
 
 
 def _bucket_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows in order of key: links between names under one key.
+    """Of rows in order of key (key, name and the first word's bits): links between names under one key.
 
-    In small buckets every pair within FIRST_BITS; in larger ones each name with the nearest of those before it and the nearest
-    of all, which keeps a group together without all its pairs.
+    In small buckets every pair within FIRST_BITS; in larger ones each name with the nearest few of those before it and of all,
+    which keeps a group together without all its pairs.
     """
-    small = 8
-    rest = pd.DataFrame({"key": [], "name": []}, dtype="int64")
+    small, nearest = 32, 4
+    rest = pd.DataFrame({"key": [], "name": [], "bits": []}, dtype="int64")
 
-    def links_of(key: np.ndarray, name: np.ndarray) -> pd.DataFrame:
+    def links_of(key: np.ndarray, name: np.ndarray, bits: np.ndarray) -> pd.DataFrame:
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(new, len(key)))
         big = np.repeat(size > small, size)
         u, v = [], []
-        bits = name.view(np.uint64)
-        for lag in range(1, small):
-            near = np.flatnonzero((key[lag:] == key[:-lag]) & ~big[lag:] & (name[lag:] != name[:-lag]))
+        for lag in range(1, min(small, max(size, default=1))):
+            near = np.flatnonzero((key[lag:] == key[:-lag]) & ~big[lag:])
             near = near[np.bitwise_count(bits[near] ^ bits[near + lag]) <= FIRST_BITS]
             u.append(name[near])
             v.append(name[near + lag])
         for at, n in zip(new[size > small], size[size > small], strict=True):
-            own = np.unique(bits[at : at + n])
-            for a in range(0, len(own), 256):
-                far = np.bitwise_count(own[a : a + 256, None] ^ own[None, :]).astype(np.int16)
+            order = at + np.argsort(name[at : at + n])
+            own, names = bits[order], name[order]
+            for a in range(0, n, 256):
+                far = np.bitwise_count(own[a : a + 256, None] ^ own[None, :])
                 i = np.arange(len(far))
                 far[i, a + i] = 99
-                before = np.where(np.arange(len(own))[None, :] < (a + i)[:, None], far, 99)
+                before = np.where(np.arange(n)[None, :] < (a + i)[:, None], far, np.uint8(99))
                 for d in (far, before):
-                    j = d.argmin(axis=1)
-                    ok = d[i, j] <= FIRST_BITS
-                    u.append(own[a : a + 256][ok].view(np.int64))
-                    v.append(own[j[ok]].view(np.int64))
+                    for _ in range(nearest):
+                        j = d.argmin(axis=1)
+                        ok = d[i, j] <= FIRST_BITS
+                        u.append(names[a : a + 256][ok])
+                        v.append(names[j[ok]])
+                        d[i, j] = 99
+        if not u:
+            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
         got = pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
         return pd.DataFrame({"u": got.min(axis=1), "v": got.max(axis=1)}).drop_duplicates()
 
+    def columns(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return x["key"].to_numpy(), x["name"].to_numpy(), x["bits"].to_numpy().view(np.uint64)
+
     for b in batches:
-        rest = pd.concat([rest, b[["key", "name"]]]) if len(rest) else b[["key", "name"]]
+        rest = pd.concat([rest, b[["key", "name", "bits"]]]) if len(rest) else b[["key", "name", "bits"]]
         key = rest["key"].to_numpy()
         if len(key) and key[0] != key[-1]:
             done = int(np.searchsorted(key, key[-1]))
-            yield links_of(key[:done], rest["name"].to_numpy()[:done])
+            yield links_of(*columns(rest.iloc[:done]))
             rest = rest.iloc[done:]
     if len(rest):
-        yield links_of(rest["key"].to_numpy(), rest["name"].to_numpy())
+        yield links_of(*columns(rest))
 
 
-def similar(prints: DataFrame) -> DataFrame:
-    """Links u, v between names of long fingerprints (name, fp) that go as similar."""
+def candidates(prints: DataFrame) -> DataFrame:
+    """Pairs u, v of names of long fingerprints (name, fp) that share a key and are near in the first word."""
 
     def keyed_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.frombuffer(b"".join(b["fp"]), dtype="<u8").reshape(-1, WORDS)
-            name = b["name"].to_numpy()
+            name, bits = b["name"].to_numpy(), fp[:, 0].astype(np.uint64).view(np.int64)
             for p in range(PAIRS):
                 rows, key = pair_keys(fp, range(p, p + 1))
-                yield pd.DataFrame({"key": key, "name": name[rows]})
+                yield pd.DataFrame({"key": key, "name": name[rows], "bits": bits[rows]})
 
-    def split_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp, key = np.frombuffer(b"".join(b["fp"]), dtype="<u8").reshape(-1, WORDS), b["key"].to_numpy()
-            for p in range(PAIRS):
-                mine = np.flatnonzero(key >> 24 == (p - 1) % PAIRS)
-                if len(mine):
-                    rows, finer_key = pair_keys(fp[mine], range(p, p + 1))
-                    yield pd.DataFrame({"key": key[mine][rows] << 24 | finer_key & 0xFFFFFF, "name": b["name"].to_numpy()[mine][rows]})
-
-    rows = in_pandas(prints.select("name", "fp"), keyed_pairs, "key long, name long")
+    rows = in_pandas(prints.select("name", "fp"), keyed_pairs, "key long, name long, bits long")
     together = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    links_in = in_pandas(together.where(F.col("n") <= LARGE_BUCKET).select("key", "name"), _bucket_links, "u long, v long")
+    links_in = in_pandas(together.where(F.col("n") <= LARGE_BUCKET).select("key", "name", "bits"), _bucket_links, "u long, v long")
     links_in = cut(links_in.distinct())
     # Which keys are large comes from counts alone, so nothing is read twice where none is.
-    large = cut(rows.groupBy("key").count().where(F.col("count") > LARGE_BUCKET).select("key"))
+    large = cut(rows.groupBy("key").count().where(F.col("count") > LARGE_BUCKET).select("key", F.ceil(F.col("count") * 2 / LARGE_BUCKET).alias("m")))
     if large.head(1):
-        split = in_pandas(rows.join(large, "key", "left_semi").join(prints, "name"), split_pairs, "key long, name long")
-        split = split.repartition("key").sortWithinPartitions("key")
-        links_in = links_in.unionByName(in_pandas(split, _bucket_links, "u long, v long")).distinct()
-    a, b = prints.select(F.col("name").alias("u"), F.col("fp").alias("fu")), prints.select(F.col("name").alias("v"), F.col("fp").alias("fv"))
+        # Chunks of half a bucket, each with each: all rows of the key meet.
+        chunks = rows.join(large, "key").withColumn("c", F.expr("pmod(name, m)")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).where("o <> c")
+        chunks = chunks.select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("key"), "name", "bits").repartition("key").sortWithinPartitions("key")
+        links_in = links_in.unionByName(in_pandas(chunks, _bucket_links, "u long, v long")).distinct()
+    return links_in
 
-    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def close(prints: DataFrame) -> DataFrame:
+    """Candidates u, v that differ in ALL_BITS or fewer."""
+    a, b = (prints.select(F.col("name").alias(x), F.col("fp").alias(f"f{x}")) for x in "uv")
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             fu, fv = (np.frombuffer(b"".join(x[c]), dtype="<u8").reshape(-1, WORDS) for c in ("fu", "fv"))
             yield x.loc[np.bitwise_count(fu ^ fv).sum(axis=1) <= ALL_BITS, ["u", "v"]]
 
-    return in_pandas(links_in.join(a, "u").join(b, "v"), verified, "u long, v long")
+    return in_pandas(candidates(prints).join(a, "u").join(b, "v"), near, "u long, v long")
+
+
+def similar(pairs: DataFrame, bodies: DataFrame, k: int = 5) -> DataFrame:
+    """Those of the pairs u, v whose bodies (name, body: packed words) have similarity SIMILAR or more."""
+
+    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        @lru_cache(256)
+        def hashes(body: bytes) -> np.ndarray:
+            return shingle_set(zlib.decompress(body), k)
+
+        for x in batches:
+            ok = np.zeros(len(x), dtype=bool)
+            for i, (p, q) in enumerate(zip(x["bu"], x["bv"], strict=True)):
+                g, h = hashes(bytes(p)), hashes(bytes(q))
+                if min(len(g), len(h)) >= SIMILAR * max(len(g), len(h)):
+                    both = len(np.intersect1d(g, h, assume_unique=True))
+                    ok[i] = both >= SIMILAR * (len(g) + len(h) - both)
+            yield x.loc[ok, ["u", "v"]]
+
+    a, b = (bodies.select(F.col("name").alias(x), F.col("body").alias(f"b{x}")) for x in "uv")
+    return in_pandas(pairs.join(a, "u").join(b, "v"), verified, "u long, v long")
+
+
+def _body(text: str | None) -> bytes:
+    """Words with single blanks between; bytes: only A-Z count as a-z, and only the six ASCII blanks divide."""
+    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
 
 
 def near_dedup(docs: DataFrame, k: int = 5) -> DataFrame:
-    """``docs`` with one document of each group of exact and near copies (similarity 0.8 or more on ``k``-word shingles).
+    """``docs`` with one document of each group of exact and near copies (Jaccard 0.8 or more on sets of ``k``-word shingles).
+
+    Links are checked on the sets themselves; which pairs are looked at comes from fingerprints of the sets.
 
     The smallest doc_id of a group stays; a row without id only where no row of the group has one.  Of repeated rows one stays.
     Texts without a word are copies of each other.  No rows: no rows out.  Other columns pass through.
@@ -300,17 +340,26 @@ def near_dedup(docs: DataFrame, k: int = 5) -> DataFrame:
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = [long_fingerprint(t, k) for t in b["text"]]
-            yield pd.DataFrame({"_id": b["_id"], "_t1": b["_t1"], "_t2": b["_t2"], "name": np.array([f[0] for f in fp], dtype=np.uint64).view(np.int64), "fp": [f.tobytes() for f in fp]})
+            h = [shingle_set(_body(t), k) for t in b["text"]]
+            name = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in h], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"_id": b["_id"], "_t1": b["_t1"], "_t2": b["_t2"], "name": name, "fp": [long_fingerprint(x).tobytes() for x in h]})
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"name": b["name"], "body": [zlib.compress(_body(t), 1) for t in b["text"]]})
 
     body = F.coalesce(F.col("text"), F.lit(""))
     named = docs.select(F.struct("*").alias("_row"), "text", F.col("doc_id").cast("long").alias("_id"), F.xxhash64(body).alias("_t1"), F.xxhash64(F.lit("second"), body).alias("_t2"))
     rows = cut(in_pandas(named.select("_id", "_t1", "_t2", "text"), of, "_id long, _t1 long, _t2 long, name long, fp binary"))
-    prints = cut(rows.groupBy("name").agg(F.min("fp").alias("fp")))
-    roots = components(similar(prints))
     # One row for each name first: a name may belong to a third of all rows.
-    first = rows.groupBy("name").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_t1", "_t2")).alias("x"))
-    stays = first.join(roots, first["name"] == roots["node"], "left").groupBy(F.coalesce("root", "name").alias("root")).agg(F.min("x").alias("x"))
+    prints = cut(rows.groupBy("name").agg(F.min("fp").alias("fp"), F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_t1", "_t2")).alias("x")))
+    pairs = cut(close(prints))
+    # Texts are fetched for names in a pair only.
+    asked = pairs.select(F.col("u").alias("name")).union(pairs.select("v")).distinct().join(prints, "name").select("name", F.col("x._id").alias("i"), F.col("x._t1").alias("a"), F.col("x._t2").alias("b"))
+    found = named.select("_id", "_t1", "_t2", "text").join(asked, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_t1") == F.col("a")) & (F.col("_t2") == F.col("b")))
+    bodies = cut(in_pandas(found.select("name", "text"), packed, "name long, body binary").dropDuplicates(["name"]))
+    roots = components(similar(pairs, bodies, k))
+    stays = prints.join(roots, prints["name"] == roots["node"], "left").groupBy(F.coalesce("root", "name").alias("root")).agg(F.min("x").alias("x"))
     stays = stays.select(F.col("x._id").alias("i"), F.col("x._t1").alias("a"), F.col("x._t2").alias("b"))
     same = named["_id"].eqNullSafe(stays["i"]) & (named["_t1"] == stays["a"]) & (named["_t2"] == stays["b"])
     return named.join(stays, same, "left_semi").dropDuplicates(["_id", "_t1", "_t2"]).select(*(F.col("_row")[c].alias(c) for c in docs.columns))
