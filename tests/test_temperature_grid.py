@@ -1,0 +1,13 @@
+"""The temperature fit takes every record."""
+
+from loomspark.operators import registry
+
+
+def put(spark, path, table, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{path}/{table}.parquet")
+    return str(path)
+
+
+def test_every_record_counts(spark, tmp_path):
+    sf = put(spark, tmp_path, "documents", [(i, "src0", "en") for i in range(1, 20)], "doc_id long, source string, lang string")
+    assert sorted(r.type for r in registry.QUERIES["M05_temperature_grid"](spark, sf).collect()) == ["choice", "noul", "score"]
