@@ -136,9 +136,12 @@ def best_of(d):
 
 @plan("W27_distractor_menu")
 def distractors(d):
-    """Fifteen other parts for each of a brand's parts, of its own type first."""
-    return f"""WITH p AS (SELECT p_partkey, p_type, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part), q AS (SELECT * FROM p WHERE k = 1),
-    r AS (SELECT q.p_partkey AS part_id, o.p_partkey AS other, row_number() OVER (PARTITION BY q.p_partkey ORDER BY CASE WHEN o.p_type = q.p_type THEN 0 ELSE 1 END, {d.sha(f"{d.s('q.p_partkey')} || ':' || {d.s('o.p_partkey')}")}) AS rn FROM q JOIN p o ON o.k <= 3 AND o.p_partkey <> q.p_partkey) SELECT part_id, other, rn FROM r WHERE rn <= 15"""
+    """Fifteen other parts for every part, of its own type first: those that follow it, in a ring, in hash order."""
+    return f"""WITH h AS (SELECT p_partkey, coalesce(p_type, '') AS p_type, {hashed(d, 'menu', 'p_partkey')} AS hs FROM part),
+    p AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY hs, p_partkey) - 1 AS r, count(*) OVER (PARTITION BY p_type) AS n, row_number() OVER (ORDER BY hs, p_partkey) - 1 AS g, count(*) OVER () AS total FROM h),
+    a AS (SELECT p_partkey, p_type, r, n, {d.each(d.seq('1', 'cast(least(15, n - 1) as int)'))} AS j FROM p), same AS (SELECT a.p_partkey AS part_id, o.p_partkey AS other, a.j AS rn FROM a JOIN p o ON o.p_type = a.p_type AND o.r = (a.r + a.j) % a.n),
+    f AS (SELECT p_partkey, p_type, n, g, total, {d.each(d.seq('1', 'cast(least(29, total - 1) as int)'))} AS j FROM p WHERE n < 16), rest AS (SELECT f.p_partkey AS part_id, o.p_partkey AS other, f.n - 1 + row_number() OVER (PARTITION BY f.p_partkey ORDER BY f.j) AS rn FROM f JOIN p o ON o.g = (f.g + f.j) % f.total AND o.p_type <> f.p_type)
+    SELECT part_id, other, rn FROM same UNION ALL SELECT part_id, other, rn FROM rest WHERE rn <= 15"""
 
 
 @plan("W28_latest_complete")
