@@ -185,10 +185,10 @@ def length_buckets(d):
 
 @plan("T08_common_prefix")
 def common_prefix(d):
-    """Longest common prefix, in words, of neighbours by id in a source; rounded down to fours."""
-    return f"""WITH x AS (SELECT doc_id, source, {d.words('text', '[^ \\n]+')} AS w, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents), p AS (SELECT a.doc_id AS a_id, b.doc_id AS b_id, a.w AS aw, b.w AS bw FROM x a JOIN x b ON a.source = b.source AND b.rn = a.rn + 1),
-    i AS (SELECT a_id, b_id, aw, bw, {d.each(d.seq('1', '32'))} AS i FROM p), e AS (SELECT a_id, b_id, min(CASE WHEN coalesce({d.at('aw', 'i')}, '<a>') <> coalesce({d.at('bw', 'i')}, '<b>') THEN i END) AS first_diff FROM i GROUP BY a_id, b_id)
-    SELECT a_id, b_id, coalesce(first_diff - 1, 32) AS prefix, {d.div('coalesce(first_diff - 1, 32)', '4')} * 4 AS rounded FROM e"""
+    """Longest common prefix, in words, of neighbours by id in a source; rounded down to 64."""
+    return f"""WITH x AS (SELECT doc_id, source, {d.words("coalesce(text, '')", '[^ \\n]+')} AS w, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents), p AS (SELECT a.doc_id AS a_id, b.doc_id AS b_id, a.w AS aw, b.w AS bw, cast(least({d.size('a.w')}, {d.size('b.w')}) as int) AS n FROM x a JOIN x b ON a.source = b.source AND b.rn = a.rn + 1),
+    e AS (SELECT a_id, b_id, n, {d.keep(d.seq('1', 'n'), 'i', f"{d.at('aw', 'i')} <> {d.at('bw', 'i')}")} AS differ FROM p), l AS (SELECT a_id, b_id, CASE WHEN {d.size('differ')} = 0 THEN n ELSE {d.at('differ', '1')} - 1 END AS prefix FROM e)
+    SELECT a_id, b_id, prefix, {d.div('prefix', '64')} * 64 AS rounded FROM l"""
 
 
 @plan("T09_leaderboard")
