@@ -168,7 +168,10 @@ def leak(d):
 
 @plan("F08_state_leaks_option")
 def state_leak(d):
-    return f"SELECT event_id FROM events WHERE {d.holds('props', 'event_type')} OR user_id % 50 = 0 AND {d.like('props', '[0-9]')}"
+    """A text field of the state (props) whose name shares a token with the question id event_type, or is one for labels, and whose value is an option."""
+    key = "(^|[_-])event([_-]|$)|^(targets?|reference|expected|label(s|))$"  # type is too common a token
+    return f"""WITH o AS (SELECT DISTINCT lower(event_type) AS name FROM events), f AS (SELECT event_id, {d.each(d.words('props', '"[^"]+" *: *"[^"]*"'))} AS field FROM events),
+    kv AS (SELECT event_id, lower({d.extract('field', '^"([^"]+)"', 1)}) AS k, lower(trim({d.extract('field', ': *"([^"]*)"$', 1)})) AS v FROM f) SELECT DISTINCT event_id FROM kv WHERE {d.like('k', key)} AND v IN (SELECT name FROM o)"""
 
 
 @plan("F09_authored_validity")
@@ -229,7 +232,7 @@ def provenance(d):
 @plan("J01_results_x_suite")
 def results_suite(d):
     return """SELECT CASE WHEN o.o_orderkey IS NULL THEN 'outside' WHEN l.l_orderkey IS NULL THEN 'missing' ELSE 'both' END AS side, count(*) AS n
-    FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0) o FULL OUTER JOIN (SELECT DISTINCT l_orderkey FROM lineitem) l ON o.o_orderkey = l.l_orderkey GROUP BY CASE WHEN o.o_orderkey IS NULL THEN 'outside' WHEN l.l_orderkey IS NULL THEN 'missing' ELSE 'both' END"""
+    FROM (SELECT DISTINCT o_orderkey FROM orders) o FULL OUTER JOIN (SELECT DISTINCT l_orderkey FROM lineitem) l ON o.o_orderkey = l.l_orderkey GROUP BY CASE WHEN o.o_orderkey IS NULL THEN 'outside' WHEN l.l_orderkey IS NULL THEN 'missing' ELSE 'both' END"""
 
 
 @plan("J02_reads_x_questions")
@@ -295,8 +298,12 @@ def config_diff(d):
 
 @plan("M01_option_names")
 def option_names(d):
-    """Bijective letters for options: A to Z, then AA."""
-    return f"""WITH n AS (SELECT p_partkey AS i FROM part WHERE p_partkey <= 700) SELECT i, CASE WHEN i <= 26 THEN '' ELSE {d.from_code(f"64 + {d.div('i - 1', '26')}")} END || {d.from_code('65 + (i - 1) % 26')} AS name FROM n"""
+    """Bijective letters for options: A to Z, then AA to ZZ, AAA and so on; 0 has no name."""
+    rest = ["i"]
+    for _ in range(6):  # seven letters: 8 billion names
+        rest.append(d.div(f"{rest[-1]} - 1", "26"))
+    letters = " || ".join(f"CASE WHEN i >= {sum(26**k for k in range(at + 1))} THEN {d.from_code(f'65 + ({rest[at]} - 1) % 26')} ELSE '' END" for at in range(6, -1, -1))
+    return f"""WITH n AS (SELECT p_partkey AS i FROM part) SELECT i, {letters} AS name FROM n"""
 
 
 @plan("M02_prompt_render")
@@ -317,7 +324,7 @@ def gate(d):
 
 @plan("M19_type_inference")
 def type_inference(d):
-    return f"""WITH x AS (SELECT user_id, {d.gather('event_type')} AS opts FROM events WHERE event_id % 3 = 0 GROUP BY user_id) SELECT user_id, CASE WHEN {d.size('opts')} = 2 THEN 'noul' WHEN {d.size('opts')} >= 5 THEN 'score' ELSE 'choice' END AS type FROM x"""
+    return f"""WITH x AS (SELECT user_id, {d.gather('event_type')} AS opts FROM events GROUP BY user_id) SELECT user_id, CASE WHEN {d.size('opts')} = 2 THEN 'noul' WHEN {d.size('opts')} >= 5 THEN 'score' ELSE 'choice' END AS type FROM x"""
 
 
 @plan("M11_tool_precedence")

@@ -12,7 +12,7 @@ def hashed(d, salt, key):
 
 @plan("W01_hash_order")
 def hash_order(d):
-    return f"SELECT doc_id, row_number() OVER (ORDER BY {hashed(d, 'salt', 'doc_id')}, doc_id) AS ord FROM (SELECT doc_id FROM documents WHERE source = 'src1') x"
+    return f"SELECT doc_id, row_number() OVER (ORDER BY {hashed(d, 'salt', 'doc_id')}, doc_id) AS ord FROM documents"
 
 
 @plan("W02_family_split")
