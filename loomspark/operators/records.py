@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..plans.reads import questions, reads
+from ..plans.reads import draws, questions, reads
 from .registry import plan
 
 
@@ -271,7 +271,9 @@ def ancestry(d):
 
 @plan("J13_paired_draw")
 def paired_draw(d):
-    return f"""WITH {reads(d)}, g AS (SELECT fam, rep, avg(brier) AS loss FROM rd GROUP BY fam, rep), x AS (SELECT fam, {d.each(d.seq('1', '5'))} AS replicate FROM (SELECT DISTINCT fam FROM rd) f) SELECT x.replicate, x.fam, round(a.loss - b.loss, 6) AS delta FROM x JOIN g a ON x.fam = a.fam AND a.rep = 0 JOIN g b ON x.fam = b.fam AND b.rep = 1"""
+    """Baseline and candidate on the same draws of groups as W20_group_bootstrap, by stratum and (*) over all."""
+    return f"""WITH {reads(d)}, {draws(d)} SELECT dr.replicate, coalesce(dr.stratum, '*') AS stratum, round(sum(i.baseline) / sum(i.n), 6) AS baseline, round(sum(i.candidate) / sum(i.n), 6) AS candidate, round(sum(i.candidate - i.baseline) / sum(i.n), 6) AS delta
+    FROM dr JOIN i ON dr.stratum = i.stratum AND dr.slot = i.slot GROUP BY GROUPING SETS ((dr.replicate, dr.stratum), (dr.replicate))"""
 
 
 @plan("J14_intersect_ids")

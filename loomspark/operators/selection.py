@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..plans.reads import reads
+from ..plans.reads import draws, reads
 from .registry import plan
 
 
@@ -104,11 +104,9 @@ def donor_slots(d):
 
 @plan("W20_group_bootstrap")
 def bootstrap(d):
-    """Paired stratified group bootstrap with 200 replicates: each draws as many groups of a stratum as it has, by hash."""
-    return f"""WITH {reads(d)}, g AS (SELECT subset AS stratum, fam || '/' || subset AS grp, sum(CASE WHEN rep = 1 THEN brier ELSE -brier END) AS delta, count(*) / 2 AS n FROM rd WHERE rep < 2 GROUP BY subset, fam || '/' || subset),
-    i AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY grp) - 1 AS slot, count(*) OVER (PARTITION BY stratum) AS k FROM g), b AS (SELECT {d.each(d.seq('1', '200'))} AS replicate),
-    dr AS (SELECT b.replicate, i.stratum, {d.h8(f"'7|' || {d.s('b.replicate')} || '|' || i.stratum || '|' || {d.s('i.slot')}")} % i.k AS slot FROM i CROSS JOIN b),
-    m AS (SELECT dr.replicate, sum(i.delta) / sum(i.n) AS delta FROM dr JOIN i ON dr.stratum = i.stratum AND dr.slot = i.slot GROUP BY dr.replicate)
+    """Paired stratified group bootstrap with 2000 replicates: each draws as many groups of a stratum as it has, by hash."""
+    return f"""WITH {reads(d)}, {draws(d)},
+    m AS (SELECT dr.replicate, sum(i.candidate - i.baseline) / sum(i.n) AS delta FROM dr JOIN i ON dr.stratum = i.stratum AND dr.slot = i.slot GROUP BY dr.replicate)
     SELECT count(*) AS replicates, round(avg(delta), 5) AS mean_delta, round({d.quantile('delta', '0.025')}, 5) AS low, round({d.quantile('delta', '0.975')}, 5) AS high FROM m"""
 
 

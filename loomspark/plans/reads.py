@@ -27,3 +27,11 @@ def reads(d) -> str:
       max(CASE WHEN k = label THEN p END) AS plabel, sum((p - CASE WHEN k = label THEN 1 ELSE 0 END) * (p - CASE WHEN k = label THEN 1 ELSE 0 END)) AS brier,
       sum(k * p) AS expected, sum((cp - cl) * (cp - cl)) / (nk - 1) AS rps
     FROM rc GROUP BY id, fam, subset, qid, type, nk, label, rep, order_seed)"""
+
+
+def draws(d) -> str:
+    """CTEs after ``reads``: i, the groups of each stratum with their loss in both runs; dr, 2000 replicates that each draw as many
+    groups of a stratum as it has, by hash."""
+    return f"""g AS (SELECT subset AS stratum, fam || '/' || subset AS grp, sum(CASE WHEN rep = 0 THEN brier ELSE 0 END) AS baseline, sum(CASE WHEN rep = 1 THEN brier ELSE 0 END) AS candidate, count(*) / 2 AS n FROM rd WHERE rep < 2 GROUP BY subset, fam || '/' || subset),
+    i AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY grp) - 1 AS slot, count(*) OVER (PARTITION BY stratum) AS k FROM g), b AS (SELECT {d.each(d.seq('1', '2000'))} AS replicate),
+    dr AS (SELECT b.replicate, i.stratum, {d.h8(f"'7|' || {d.s('b.replicate')} || '|' || i.stratum || '|' || {d.s('i.slot')}")} % i.k AS slot FROM i CROSS JOIN b)"""
