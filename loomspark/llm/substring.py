@@ -2,15 +2,19 @@
 
 Anchors.  Of the words of a text every window of ``width`` words has a least hash among its word 8-grams (leftmost on a tie);
 that 8-gram is the window's anchor.  Equal windows have equal anchors at equal places, so comparing texts at anchors loses
-nothing, and there are about two anchors for every 29 words.  Consecutive windows with one anchor form a run, the stretch
-over which an anchor is extended to the left and right.
+nothing, and there are about two anchors for every 29 words.  Consecutive windows with one anchor form a run: the anchor,
+extended to the left and to the right as far as it stays the anchor.
 
 Join.  Anchors that occur once in the corpus can't be in a repeat and go.  Of the rest, runs with equal words repeat as a
-whole.  Runs that share an anchor but not all words are extended window by window: two of them match over those windows whose
-words are equal.  Windows so found, put together along a text, are its maximal repeats of ``width`` words or more.
+whole.  A run that occurs once, but shares its anchor, is extended from the anchor step by step, so many words to the left and
+the rest of ``width`` to the right; it matches another run of the anchor in the extensions whose words are equal.  Windows so
+found, put together along a text, are its maximal repeats of ``width`` words or more.
 
-A text is named by two hashes and its length, so passes over the input agree with each other however it is split, and copies
-of a text are one name.  Words are compared by 64-bit hashes, windows by hashes of these.
+Exactness.  Anchors may collide: they only say what is compared.  Words are compared by BLAKE2 digests of 64 bits of the words
+themselves, and only under one anchor, which is 64 bits more.  A text is named by 128 bits of its SHA-256, so passes over the
+input agree with each other however it is split, and copies of a text are one name.
+
+The texts are shuffled once: extension, and the last join that takes the words out, read the same exchange.
 """
 
 from __future__ import annotations
@@ -24,14 +28,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_arrow, in_pandas, words
+from loomspark.functions.workers import ship
+
+from .common import cut, in_arrow
 
 WIDTH = 35
 GRAM = 8
-#: Bytes of text that are worked on at a time; one text is never divided.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that are worked on at a time; a longer text is worked on by blocks of so many windows.
+SLICE_BYTES, BLOCK_WINDOWS = 2 << 20, 1 << 18
 #: Odd multipliers of the two polynomial hashes, and of the mixing step.
 BYTE_BASE, WORD_BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: Bits of a span that hold its number of windows; the first window is above.
+SPAN_BITS = 20
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -55,62 +63,82 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Hashed:
-    """Hashes of the words of a few texts, and of any stretch of them."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        """data: UTF-8 of all texts; offsets: where each begins, and the end of the last."""
-        n = len(data)
-        blank = (data == 32) | ((data >= 9) & (data <= 13))
-        before, after = np.ones(n + 1, dtype=bool), np.ones(n + 1, dtype=bool)
-        before[1:] = np.append(blank, True)[:n]
-        before[offsets] = True
-        after[: max(0, n - 1)] = blank[1:]
-        after[offsets[1:] - 1] = True  # an empty first text marks the place past the end, which isn't read
-        start, end = np.flatnonzero(~blank & before[:n]), np.flatnonzero(~blank & after[:n]) + 1
-        up, down = _power_table(BYTE_BASE, n + 1)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        word = _mixed((total[end] - total[start]) * down[start])
-        #: First word of each text, and the number of all words.
-        self.first = np.searchsorted(start, offsets)
-        m = len(word)
-        up, self.down = _power_table(WORD_BASE, m + 1)
-        self.total = np.zeros(m + 1, dtype=np.uint64)
-        np.cumsum(word * up[:m], out=self.total[1:])
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in the UTF-8 of some texts; offsets: where each text begins, and the end of the last."""
+    n = len(data)
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    before, after = np.ones(n + 1, dtype=bool), np.ones(n + 1, dtype=bool)
+    before[1:] = np.append(blank, True)[:n]
+    before[offsets] = True
+    after[: max(0, n - 1)] = blank[1:]
+    after[offsets[1:] - 1] = True  # an empty first text marks the place past the end, which isn't read
+    return np.flatnonzero(~blank & before[:n]), np.flatnonzero(~blank & after[:n]) + 1
 
-    def stretch(self, a: np.ndarray, n) -> np.ndarray:
-        """Hash of the ``n`` words from each place of ``a``."""
-        return _mixed((self.total[a + n] - self.total[a]) * self.down[a])
 
+class Words:
+    """The words of a few texts: hashes of their grams, digests of any stretch of them."""
 
-def runs(h: Hashed, width: int) -> tuple[np.ndarray, ...]:
-    """Text, first window (place in the text), number of windows, anchor and run hash of each run."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, (self.start, self.end) = data, word_bounds(data, offsets)
+        #: First word of each text, and the number of all words.
+        self.first = np.searchsorted(self.start, offsets)
+        size = self.end - self.start
+        #: Where words begin in ``body``, in which one blank follows each.
+        self.at = np.concatenate(([0], np.cumsum(size + 1)))
+        body = np.full(int(self.at[-1]), 32, dtype=np.uint8)
+        if len(size):
+            shift = np.repeat(self.at[:-1] - self.start, size)
+            place = np.arange(len(shift)) + np.repeat(self.start - (np.cumsum(size) - size), size)
+            body[place + shift] = data[place]
+        self.body = body.tobytes()
+
+    def grams(self, n: int) -> np.ndarray:
+        """Hash of the ``n`` words from each place on; equal words, equal hash."""
+        up, down = _power_table(BYTE_BASE, len(self.data) + 1)
+        total = np.zeros(len(self.data) + 1, dtype=np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=total[1:])
+        word = _mixed((total[self.end] - total[self.start]) * down[self.start])
+        up, down = _power_table(WORD_BASE, len(word) + 1)
+        total = np.zeros(len(word) + 1, dtype=np.uint64)
+        np.cumsum(word * up[: len(word)], out=total[1:])
+        return _mixed((total[n:] - total[:-n]) * down[: len(word) - n + 1])
+
+    def digests(self, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of the ``n`` words from each place of ``a``, by their bytes."""
+        body, of = self.body, hashlib.blake2b
+        return np.frombuffer(b"".join([of(body[i:j], digest_size=8).digest() for i, j in zip(self.at[a].tolist(), self.at[a + n].tolist(), strict=True)]), dtype=np.int64)
+
+
+def runs(w: Words, width: int) -> tuple[np.ndarray, ...]:
+    """Text, first window (place in the text), number of windows, anchor and digest of each run."""
     gram = min(GRAM, width)
-    m = len(h.total) - 1
+    m = len(w.start)
     none = np.zeros(0, dtype=np.int64)
     if m < width:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    grams = h.stretch(np.arange(m - gram + 1), gram)
+        return none, none, none, none, none
+    grams = w.grams(gram)
     least, place, size, want = grams, np.arange(len(grams)), 1, width - gram + 1
     while size < want:  # least of 1, 2, 4, ... grams, and at last of exactly as many as a window has
         step = min(size, want - size)
         left = least[:-step] <= least[step:]
         least, place, size = np.where(left, least[:-step], least[step:]), np.where(left, place[:-step], place[step:]), size + step
-    text = np.repeat(np.arange(len(h.first) - 1), np.diff(h.first))
+    text = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
     window = np.arange(len(least))
-    inside = window + width <= h.first[text[: len(least)] + 1]
+    inside = window + width <= w.first[text[: len(least)] + 1]
     window, place, of = window[inside], place[inside], text[: len(least)][inside]
     if not len(window):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none
     new = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (of[1:] != of[:-1]))))
     n = np.diff(np.append(new, len(window)))
     a, of = window[new], of[new]
-    return of, a - h.first[of], n, grams[place[new]], h.stretch(a, n + width - 1)
+    return of, a - w.first[of], n, grams[place[new]].view(np.int64), w.digests(a, n + width - 1)
+
 
+def slices(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, int, Words]]:
+    """Rows i to j of a batch, the place in its text of the first word, and the words; null: no words.
 
-def slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows i to j of a batch with the bytes of their texts and where these begin; null: no bytes."""
+    A text longer than SLICE_BYTES comes alone, in blocks that overlap by the words that a window needs.
+    """
     column = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary())
     column = column.fill_null(b"") if column.null_count else column
     if not len(column):
@@ -120,81 +148,109 @@ def slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
     i = 0
     while i < len(column):
         j = max(i + 1, int(np.searchsorted(where, where[i] + SLICE_BYTES, side="right")) - 1)
-        yield i, j, data[where[i] : where[j]], where[i : j + 1] - where[i]
+        part = data[where[i] : where[j]]
+        if len(part) <= SLICE_BYTES:
+            yield i, j, 0, Words(part, where[i : j + 1] - where[i])
+        else:
+            start, end = word_bounds(part, np.array([0, len(part)]))
+            for a in range(0, max(1, len(start) - width + 1), BLOCK_WINDOWS):
+                b = min(len(start), a + BLOCK_WINDOWS + width - 1) - 1
+                block = part[start[a] : end[b]] if len(start) else part[:0]
+                yield i, j, a, Words(block, np.array([0, len(block)]))
         i = j
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """doc_id, text and its name t1, t2."""
-    body = F.coalesce(F.col("text"), F.lit(""))
-    t2 = F.shiftleft(F.octet_length(body).cast("long"), 32).bitwiseOR(F.crc32(body.cast("binary")))
-    return docs.select("*", F.xxhash64(body).alias("t1"), t2.alias("t2"))
+    """``docs`` and the name of the text, t1 and t2."""
+    name = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    longs = (F.coalesce(F.conv(F.substring(name, at, 16), 16, -10).cast("long"), F.lit(0).cast("long")) for at in (1, 17))
+    return docs.select("*", *(x.alias(t) for x, t in zip(longs, ("t1", "t2"), strict=True)))
+
+
+def _names(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("t1", "t2")]
 
 
 def _anchors(named: DataFrame, width: int) -> DataFrame:
+    """anchor, run, t1, t2 and span of every run."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("t1", "t2")]
-            for i, j, data, offsets in slices(b):
-                text, a, n, anchor, run = runs(Hashed(data, offsets), width)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), run.view(np.int64), names[0][i:j][text], names[1][i:j][text], a.astype(np.int32), n.astype(np.int32))], ["anchor", "run", "t1", "t2", "a", "n"])
+            names = _names(b)
+            for i, j, base, w in slices(b, width):
+                text, a, n, anchor, run = runs(w, width)
+                span = (a + base) << SPAN_BITS | n
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, run, names[0][i:j][text], names[1][i:j][text], span)], ["anchor", "run", "t1", "t2", "span"])
+
+    return in_arrow(named.select("text", "t1", "t2"), of, "anchor long, run long, t1 long, t2 long, span long")
 
-    return in_arrow(named.select("text", "t1", "t2"), of, "anchor long, run long, t1 long, t2 long, a int, n int")
 
+def _extensions(texts: DataFrame, width: int) -> DataFrame:
+    """Of texts with ``asked``, an array of runs (anchor, span, once): the extensions of each from its anchor to ``width`` words.
 
-def _windows(texts: DataFrame, width: int) -> DataFrame:
-    """Of texts with ``asked``, an array of runs (anchor, run, a, n): their windows one by one."""
+    Those of runs that occur once have their place (t1, t2, span); the others repeat anyway and are there to be met.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("t1", "t2")]
-            asked = b.column(b.schema.get_field_index("asked"))
-            for i, j, data, offsets in slices(b):
-                h, part = Hashed(data, offsets), asked.slice(i, j - i)
+            names, asked = _names(b), b.column(b.schema.get_field_index("asked"))
+            for i, j, base, w in slices(b, width):
+                part = asked.slice(i, j - i)
                 flat = part.flatten()
                 text = np.repeat(np.arange(j - i), part.value_lengths().to_numpy())
-                anchor, run, a, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                anchor, span, once = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                a, n = (span >> SPAN_BITS) - base, span & ((1 << SPAN_BITS) - 1)
                 k = np.repeat(np.arange(len(a)), n)
                 s = a[k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
-                wide = _mixed(h.stretch(h.first[text[k]] + s, width) ^ anchor[k].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (wide.view(np.int64), run[k], names[0][i:j][text[k]], names[1][i:j][text[k]], s.astype(np.int32))], ["w", "run", "t1", "t2", "a"])
+                here = (s >= 0) & (s + width <= np.diff(w.first)[text[k]])  # of a long text: in this block
+                k, s = k[here], s[here]
+                digest = w.digests(w.first[text[k]] + s, np.full(len(s), width))
+                known = once[k] == 0
+                place = (pa.array(x, mask=known) for x in (names[0][i:j][text[k]], names[1][i:j][text[k]], (s + base) << SPAN_BITS | 1))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[k]), pa.array(digest), *place], ["anchor", "words", "t1", "t2", "span"])
 
-    return in_arrow(texts.select("text", "t1", "t2", "asked"), of, "w long, run long, t1 long, t2 long, a int")
+    return in_arrow(texts, of, "anchor long, words long, t1 long, t2 long, span long")
 
 
-def repeats(named: DataFrame, width: int) -> DataFrame:
-    """t1, t2 and ``spans``: ranges (a, n) of first words of the windows that begin anywhere else too."""
+def _with_spans(docs: DataFrame, width: int) -> DataFrame:
+    """``docs`` (a column text) and ``spans``: which windows begin anywhere else too, as first window and number in one long."""
+    named = _named(docs)
     raw = _anchors(named, width)
     again = cut(raw.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"))
     found = cut(raw.join(again, "anchor", "left_semi"))
-    classes = found.groupBy("anchor", "run").agg(F.count("*").alias("c"), F.min(F.struct("t1", "t2", "a", "n")).alias("r"))
+    classes = found.groupBy("anchor", "run").agg(F.count("*").alias("c"), F.min(F.struct("t1", "t2", "span")).alias("r"))
     classes = cut(classes.select("anchor", "run", "c", "r.*"))
-    whole = found.join(classes.where("c > 1").select("anchor", "run"), ["anchor", "run"], "left_semi").select("t1", "t2", "a", "n")
-    mixed = classes.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    asked = classes.join(mixed, "anchor", "left_semi").groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", "run", "a", "n")).alias("asked"))
-    # A copy of a text gives the same windows of the same runs again, which changes neither least nor greatest run.
-    windows = cut(_windows(named.select("text", "t1", "t2").join(asked, ["t1", "t2"]), width))
-    shared = windows.groupBy("w").agg(F.min("run").alias("x"), F.max("run").alias("y")).where("x <> y").select("w")
-    parts = windows.join(shared, "w", "left_semi").select("t1", "t2", "a", F.lit(1).alias("n"))
-    return whole.unionByName(parts).groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "n")).alias("spans"))
-
-
-def kept_words(text: str | None, spans, width: int) -> tuple[list[bytes], int]:
-    """Words of the text that no span covers, and the number of those that are covered."""
-    w = (text or "").encode("utf-8", "surrogatepass").split()
-    if spans is None or not len(spans):
-        return w, 0
-    step = np.zeros(len(w) + 1, dtype=np.int64)
-    a, n = np.array([s["a"] for s in spans]), np.array([s["n"] for s in spans])
-    np.add.at(step, a, 1)
-    np.add.at(step, a + n + width - 1, -1)
+    whole = found.join(classes.where("c > 1").select("anchor", "run"), ["anchor", "run"], "left_semi").select("t1", "t2", "span")
+    mixed = classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1 AND least = 1").select("anchor")
+    asked = classes.join(mixed, "anchor", "left_semi").groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", "span", (F.col("c") == 1).cast("int").alias("once"))).alias("asked"))
+    # One run never has equal extensions, and the text of a run that occurs once has no copy: two rows are two runs, or none of them occurs once.
+    extended = _extensions(named.join(asked, ["t1", "t2"]), width)
+    shared = extended.groupBy("anchor", "words").agg(F.count("*").alias("c")).where("c > 1").select("anchor", "words")
+    parts = extended.where("span IS NOT NULL").join(shared, ["anchor", "words"], "left_semi").select("t1", "t2", "span")
+    spans = whole.unionByName(parts).groupBy("t1", "t2").agg(F.collect_set("span").alias("spans"))
+    return named.join(spans, ["t1", "t2"], "left").drop("t1", "t2")
+
+
+def kept_words(body: bytes, spans: np.ndarray | None, width: int) -> tuple[bytes, int, int]:
+    """The words that no span covers, with single blanks between; the number of all words, and of those that are covered."""
+    if len(body) <= SLICE_BYTES and spans is None:
+        w = body.split()
+        return b" ".join(w), len(w), 0
+    data = np.frombuffer(body, dtype=np.uint8)
+    start, end = word_bounds(data, np.array([0, len(data)]))
+    step = np.zeros(len(start) + 1, dtype=np.int64)
+    if spans is not None:
+        a = spans >> SPAN_BITS
+        np.add.at(step, a, 1)
+        np.add.at(step, a + (spans & ((1 << SPAN_BITS) - 1)) + width - 1, -1)
     keep = np.cumsum(step[:-1]) == 0
-    return [x for x, k in zip(w, keep, strict=True) if k], int((~keep).sum())
+    cuts = np.flatnonzero(np.diff(np.concatenate(([0], keep.astype(np.int8), [0]))))
+    stretches = [b" ".join(body[start[i] : end[j - 1]].split()) for i, j in zip(cuts[::2], cuts[1::2], strict=True)]
+    return b" ".join(stretches), len(start), int((~keep).sum())
 
 
-def _with_spans(docs: DataFrame, width: int) -> DataFrame:
-    named = _named(docs)
-    return named.join(repeats(named.select("text", "t1", "t2"), width), ["t1", "t2"], "left").drop("t1", "t2")
+def _span_lists(column: pa.Array) -> list[np.ndarray | None]:
+    return [None if x is None or not len(x) else np.array(x, dtype=np.int64) for x in column.to_pylist()]
 
 
 def digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -204,29 +260,33 @@ def digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     doc_id: every row stands for itself.  No rows: no rows out.
     """
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(len(kept), gone, hashlib.sha256(b" ".join(kept)).hexdigest()) for kept, gone in (kept_words(t, s, width) for t, s in zip(b["text"], b["spans"], strict=True))]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_words": [k + g for k, g, _ in got], "n_removed": [g for _, g, _ in got], "kept_sha256": [x for _, _, x in got]})
+            texts, spans = (b.column(b.schema.get_field_index(c)) for c in ("text", "spans"))
+            got = [kept_words(t or b"", s, width) for t, s in zip(texts.cast(pa.large_binary()).to_pylist(), _span_lists(spans), strict=True)]
+            columns = [pa.array(x, pa.int64()) for x in ([n for _, n, _ in got], [g for _, _, g in got])]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), *columns, pa.array([hashlib.sha256(k).hexdigest() for k, _, _ in got])], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return in_pandas(_with_spans(docs.select("doc_id", "text"), width), of, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width)
+    return in_arrow(rows, of, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with the covered words taken out of the texts that have any; other texts and columns stay as they are.
 
-    A column n_chars, where there is one, follows a changed text.
+    What is left of a changed text has single blanks between its words.  A column n_chars, where there is one, follows it.
     """
-    spanned = _with_spans(docs.select(F.struct("*").alias("_row"), "text"), width)  # whatever the columns are called
-    gone = F.transform("spans", lambda s: F.struct(s["a"].alias("a"), (s["a"] + s["n"] + (width - 1)).alias("b")))
-    # stretches of words between merged spans, left to right
-    merged = F.aggregate(F.array_sort(gone), F.array().cast("array<struct<a:int,b:int>>"), lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= s["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], s["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(s))))
-    rows = spanned.withColumn("_m", merged).withColumn("_w", words(F.col("text")))
-    n = F.size("_m")
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.slice("_w", F.coalesce(F.get("_m", i - 1)["b"], F.lit(0)) + 1, F.coalesce(F.get("_m", i)["a"], F.size("_w")) - F.coalesce(F.get("_m", i - 1)["b"], F.lit(0)))))
-    cleaned = F.when(n > 0, F.array_join(kept, " ")).otherwise(F.col("text"))
-    rows = rows.withColumn("_cleaned", cleaned)
-    new: dict[str, Column] = {"text": F.col("_cleaned")}
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("string")
+    def cleaned(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else kept_words(t.encode("utf-8", "surrogatepass"), np.asarray(s, dtype=np.int64), width)[0].decode("utf-8", "surrogatepass") for t, s in zip(text, spans, strict=True)], dtype=object)
+
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    spanned = _with_spans(docs.select(F.struct(F.lit(0).alias("_"), *others).alias("_row"), "text"), width)  # whatever the columns are called
+    has = F.col("spans").isNotNull()
+    rows = spanned.select("_row", "text", has.alias("has"), cleaned(F.when(has, F.col("text")), "spans").alias("cleaned"))
+    new: dict[str, Column] = {"text": F.when(F.col("has"), F.col("cleaned")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(n > 0, F.char_length("_cleaned").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row")["n_chars"])
+        new["n_chars"] = F.when(F.col("has"), F.char_length("cleaned").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row")["n_chars"])
     return rows.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))

@@ -103,6 +103,47 @@ def test_substring(spark, width):
     cleaned = substring.deduplicate(d, width)
     assert cleaned.columns == d.columns and cleaned.count() == d.count()
     assert sum(len(split(t)) for _, t in local(cleaned)) == got.selectExpr("sum(n_words - n_removed)").first()[0]
+    assert substring.deduplicate(empty(spark), width).count() == 0
+
+
+def test_substring_compares_words_not_sums(spark):
+    """Words in Thue-Morse order and its complement have one polynomial hash modulo 2^64; so have runs of such words."""
+    order = [k.bit_count() % 2 for k in range(1024)]
+    abba, baab = ("".join(x[k] for k in order) for x in ("ab", "ba"))
+    rows = [(i, " ".join([f"w{k}" for k in range(17)] + [x] + [f"v{k}" for k in range(17)]), None, None) for i, x in enumerate((abba, baab))]
+    rows += [(2 + i, " ".join(x[k] for k in order), None, None) for i, x in enumerate((("one", "two"), ("two", "one")))]
+    d = docs(spark, rows)
+    got = substring.digest(d, 35)
+    assert key(map(tuple, got.collect())) == key(plain_substring(local(d), 35))
+    assert {r.n_removed for r in got.collect() if r.doc_id < 2} == {0}
+
+
+def test_substring_of_texts_over_a_slice(spark):
+    """Texts that are worked on by blocks, against the plain version; one passage lies across the end of a block."""
+    r = np.random.default_rng(4)
+    w = [f"{x:06d}" for x in r.integers(0, 10**6, 330_000)]
+    d = docs(spark, [(0, " ".join(w), None, None), (1, "x " + "\n ".join(w[262_100:262_300]) + " y", None, None), (2, " ".join(w[5:60] + w[329_000:]), None, None)])
+    assert sum(len(t) for _, t in local(d)) > substring.SLICE_BYTES
+    assert key(map(tuple, substring.digest(d, 35).collect())) == key(plain_substring(local(d), 35))
+
+
+def test_blocks_have_all_windows(monkeypatch):
+    import pyarrow as pa
+
+    t = text(500, 7).encode() + b"  " + text(100, 8).encode() + b"\t"
+    batch = pa.RecordBatch.from_arrays([pa.array([t.decode(), None, "", "a b"])], ["text"])
+
+    def windows():
+        out = set()
+        for i, _, base, w in substring.slices(batch, 9):
+            of, a, n, anchor, _ = substring.runs(w, 9)
+            out |= {(i + x, base + y + k, z) for x, y, m, z in zip(of.tolist(), a.tolist(), n.tolist(), anchor.tolist()) for k in range(m)}
+        return out
+
+    whole = windows()
+    monkeypatch.setattr(substring, "SLICE_BYTES", 100)
+    monkeypatch.setattr(substring, "BLOCK_WINDOWS", 37)
+    assert windows() == whole and len(whole) == 600 - 8
 
 
 def test_encoding_and_counts(spark):
