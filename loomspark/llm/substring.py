@@ -38,6 +38,8 @@ GRAM = 8
 SLICE_BYTES, BLOCK_WINDOWS = 2 << 20, 1 << 18
 #: Odd multipliers of the two polynomial hashes, and of the mixing step.
 BYTE_BASE, WORD_BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: A text with over this share of all rows (so 256 texts at most) has its copies spread over so many keys in the join of texts.
+HOT_SHARE, SALTS = 1 / 256, 64
 #: Bits of a span that hold its number of windows; the first window is above.
 SPAN_BITS = 20
 
@@ -167,6 +169,21 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select("*", *(x.alias(t) for x, t in zip(longs, ("t1", "t2"), strict=True)))
 
 
+def _spread(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``named`` with a salt, zero but for copies of hot texts; and these texts' names, HOT_SHARE bounds how many."""
+    counts = cut(named.groupBy("t1", "t2").agg(F.count("*").alias("c")).where("c > 1"))
+    hot = counts.where(F.col("c") > F.lit(named.count() * HOT_SHARE)).select("t1", "t2", F.lit(True).alias("hot"))
+    hot = cut(hot)
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))).otherwise(0).cast("int")
+    return named.join(F.broadcast(hot), ["t1", "t2"], "left").withColumn("salt", salt).drop("hot"), hot
+
+
+def _salted(by_name: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows of hot names for every salt, others for zero."""
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return by_name.join(F.broadcast(hot), ["t1", "t2"], "left").withColumn("salt", F.explode(salts)).drop("hot")
+
+
 def _names(b: pa.RecordBatch) -> list[np.ndarray]:
     return [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("t1", "t2")]
 
@@ -192,7 +209,16 @@ def _extensions(texts: DataFrame, width: int) -> DataFrame:
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
+            names = _names(b)
+            if not len(names[0]):
+                continue
+            before = [np.concatenate(([0 if last is None else last[k]], names[k][:-1])) for k in range(2)]
+            new = (names[0] != before[0]) | (names[1] != before[1])  # copies come one after another
+            new[0] |= last is None
+            last = [names[k][-1] for k in range(2)]
+            b = b.filter(pa.array(new))
             names, asked = _names(b), b.column(b.schema.get_field_index("asked"))
             for i, j, base, w in slices(b, width):
                 part = asked.slice(i, j - i)
@@ -215,6 +241,7 @@ def _extensions(texts: DataFrame, width: int) -> DataFrame:
 def _with_spans(docs: DataFrame, width: int) -> DataFrame:
     """``docs`` (a column text) and ``spans``: which windows begin anywhere else too, as first window and number in one long."""
     named = _named(docs)
+    spread, hot = _spread(named)
     raw = _anchors(named, width)
     again = cut(raw.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"))
     found = cut(raw.join(again, "anchor", "left_semi"))
@@ -224,11 +251,11 @@ def _with_spans(docs: DataFrame, width: int) -> DataFrame:
     mixed = classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1 AND least = 1").select("anchor")
     asked = classes.join(mixed, "anchor", "left_semi").groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", "span", (F.col("c") == 1).cast("int").alias("once"))).alias("asked"))
     # One run never has equal extensions, and the text of a run that occurs once has no copy: two rows are two runs, or none of them occurs once.
-    extended = _extensions(named.join(asked, ["t1", "t2"]), width)
+    extended = _extensions(spread.join(_salted(asked, hot), ["t1", "t2", "salt"]), width)
     shared = extended.groupBy("anchor", "words").agg(F.count("*").alias("c")).where("c > 1").select("anchor", "words")
     parts = extended.where("span IS NOT NULL").join(shared, ["anchor", "words"], "left_semi").select("t1", "t2", "span")
     spans = whole.unionByName(parts).groupBy("t1", "t2").agg(F.collect_set("span").alias("spans"))
-    return named.join(spans, ["t1", "t2"], "left").drop("t1", "t2")
+    return spread.join(_salted(spans, hot), ["t1", "t2", "salt"], "left").drop("t1", "t2", "salt")
 
 
 def kept_words(body: bytes, spans: np.ndarray | None, width: int) -> tuple[bytes, int, int]:
