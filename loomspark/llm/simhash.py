@@ -172,8 +172,9 @@ SIMILAR = 0.8
 #: Differing bits of the first word, and of all, beyond which a pair isn't compared.  Simulated at similarity 0.8 on 4 to 400
 #: shingles: 61 to 84 of all bits differ on average, 113 at most; what is nearer is decided by SIMILAR.
 FIRST_BITS, ALL_BITS = 22, 112
-#: Rows under one key beyond which they meet in pairs of chunks.
-LARGE_BUCKET = 20_000
+#: Rows under one key beyond which they meet in pairs of chunks; of so many rows or fewer under a key every pair is a candidate
+#: at once, in larger ones each row is first linked to the NEAREST few, and then to all that these links left apart.
+LARGE_BUCKET, SMALL_BUCKET, NEAREST = 20_000, 32, 4
 _EXPAND = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(WORDS)], dtype=np.uint64)
 
 
@@ -213,86 +214,144 @@ def pair_keys(prints: np.ndarray, pairs: range) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(rows), np.concatenate(out)
 
 
-def _bucket_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows in order of key (key, name and the first word's bits): links between names under one key.
+def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows in order of key, frames that hold whole keys."""
+    rest: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        key = b["key"].to_numpy()
+        if rest and rest[-1]["key"].iloc[-1] != key[0]:
+            yield pd.concat(rest)
+            rest = []
+        if key[0] != key[-1]:
+            done = int(np.searchsorted(key, key[-1]))
+            yield pd.concat([*rest, b.iloc[:done]])
+            rest = []
+            b = b.iloc[done:]
+        rest.append(b)
+    if rest:
+        yield pd.concat(rest)
 
-    In small buckets every pair within FIRST_BITS; in larger ones each name with the nearest few of those before it and of all,
-    which keeps a group together without all its pairs.
-    """
-    small, nearest = 32, 4
-    rest = pd.DataFrame({"key": [], "name": [], "bits": []}, dtype="int64")
 
-    def links_of(key: np.ndarray, name: np.ndarray, bits: np.ndarray) -> pd.DataFrame:
+def _frame(u: list[np.ndarray], v: list[np.ndarray], more: list[int]) -> pd.DataFrame:
+    got = pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)}) if u else pd.DataFrame({"u": [], "v": []}, dtype="int64")
+    got = pd.DataFrame({"u": got.min(axis=1), "v": got.max(axis=1)}).drop_duplicates().astype("Int64")
+    return pd.concat([got.assign(more=pd.array([None] * len(got), dtype="Int64")), pd.DataFrame({"u": None, "v": None, "more": more}, dtype="Int64")])
+
+
+def _first_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows in order of key (key, name and the first word's bits): pairs of names under one key within FIRST_BITS.
+
+    Under keys of SMALL_BUCKET rows or fewer all pairs.  Under larger ones each name with the NEAREST of those before it and of
+    all; ``more`` names the key if that leaves pairs out.
+    """
+    for x in _buckets(batches):
+        key, name, bits = x["key"].to_numpy(), x["name"].to_numpy(), x["bits"].to_numpy().view(np.uint64)
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(new, len(key)))
-        big = np.repeat(size > small, size)
-        u, v = [], []
-        for lag in range(1, min(small, max(size, default=1))):
+        big = np.repeat(size > SMALL_BUCKET, size)
+        u, v, more = [], [], []
+        for lag in range(1, min(SMALL_BUCKET, max(size, default=1))):
             near = np.flatnonzero((key[lag:] == key[:-lag]) & ~big[lag:])
             near = near[np.bitwise_count(bits[near] ^ bits[near + lag]) <= FIRST_BITS]
             u.append(name[near])
             v.append(name[near + lag])
-        for at, n in zip(new[size > small], size[size > small], strict=True):
+        for at, n in zip(new[size > SMALL_BUCKET], size[size > SMALL_BUCKET], strict=True):
             order = at + np.argsort(name[at : at + n])
-            own, names = bits[order], name[order]
+            own, names, left_out = bits[order], name[order], False
             for a in range(0, n, 256):
                 far = np.bitwise_count(own[a : a + 256, None] ^ own[None, :])
                 i = np.arange(len(far))
                 far[i, a + i] = 99
                 before = np.where(np.arange(n)[None, :] < (a + i)[:, None], far, np.uint8(99))
                 for d in (far, before):
-                    for _ in range(nearest):
+                    for _ in range(NEAREST):
                         j = d.argmin(axis=1)
                         ok = d[i, j] <= FIRST_BITS
                         u.append(names[a : a + 256][ok])
                         v.append(names[j[ok]])
                         d[i, j] = 99
-        if not u:
-            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        got = pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
-        return pd.DataFrame({"u": got.min(axis=1), "v": got.max(axis=1)}).drop_duplicates()
-
-    def columns(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return x["key"].to_numpy(), x["name"].to_numpy(), x["bits"].to_numpy().view(np.uint64)
-
-    for b in batches:
-        rest = pd.concat([rest, b[["key", "name", "bits"]]]) if len(rest) else b[["key", "name", "bits"]]
-        key = rest["key"].to_numpy()
-        if len(key) and key[0] != key[-1]:
-            done = int(np.searchsorted(key, key[-1]))
-            yield links_of(*columns(rest.iloc[:done]))
-            rest = rest.iloc[done:]
-    if len(rest):
-        yield links_of(*columns(rest))
-
-
-def candidates(prints: DataFrame) -> DataFrame:
-    """Pairs u, v of names of long fingerprints (name, fp) that share a key and are near in the first word."""
+                left_out |= bool((far <= FIRST_BITS).any())
+            if left_out:
+                more.append(int(key[at]))
+        yield _frame(u, v, more)
+
+
+def _other_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows as above with ``root``: all pairs under one key within FIRST_BITS whose roots differ."""
+    for x in _buckets(batches):
+        for _, rows in x.groupby("key", sort=False):
+            name, root, bits = rows["name"].to_numpy(), rows["root"].to_numpy(), rows["bits"].to_numpy().view(np.uint64)
+            for a in range(0, len(name), 256):
+                i, j = np.nonzero((np.bitwise_count(bits[a : a + 256, None] ^ bits[None, a:]) <= FIRST_BITS) & (root[a : a + 256, None] != root[None, a:]))
+                i, j = i[i < j], j[i < j]
+                if len(i):
+                    yield _frame([name[a + i]], [name[a + j]], [])
+
+
+def _dealt(prints: DataFrame) -> DataFrame:
+    """key, name and first bits of long fingerprints (name, fp), a row for each key.
+
+    Rows of a key of over LARGE_BUCKET go into chunks of half of that, and each pair of chunks is a key of its own, so all of
+    them meet and none has more than LARGE_BUCKET.  Such a key has its share in some partition, so only what is frequent
+    within a partition is counted.
+    """
 
-    def keyed_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if not len(b):
+                continue
             fp = np.frombuffer(b"".join(b["fp"]), dtype="<u8").reshape(-1, WORDS)
             name, bits = b["name"].to_numpy(), fp[:, 0].astype(np.uint64).view(np.int64)
             for p in range(PAIRS):
                 rows, key = pair_keys(fp, range(p, p + 1))
                 yield pd.DataFrame({"key": key, "name": name[rows], "bits": bits[rows]})
 
-    rows = in_pandas(prints.select("name", "fp"), keyed_pairs, "key long, name long, bits long")
-    together = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    links_in = in_pandas(together.where(F.col("n") <= LARGE_BUCKET).select("key", "name", "bits"), _bucket_links, "u long, v long")
-    links_in = cut(links_in.distinct())
-    # Which keys are large comes from counts alone, so nothing is read twice where none is.
-    large = cut(rows.groupBy("key").count().where(F.col("count") > LARGE_BUCKET).select("key", F.ceil(F.col("count") * 2 / LARGE_BUCKET).alias("m")))
-    if large.head(1):
-        # Chunks of half a bucket, each with each: all rows of the key meet.
-        chunks = rows.join(large, "key").withColumn("c", F.expr("pmod(name, m)")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).where("o <> c")
-        chunks = chunks.select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("key"), "name", "bits").repartition("key").sortWithinPartitions("key")
-        links_in = links_in.unionByName(in_pandas(chunks, _bucket_links, "u long, v long")).distinct()
-    return links_in
-
-
-def close(prints: DataFrame) -> DataFrame:
-    """Candidates u, v that differ in ALL_BITS or fewer."""
+    parts = max(1, prints.rdd.getNumPartitions())
+    large = max(LARGE_BUCKET, parts)
+    often = max(1, large // parts)
+
+    def frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # One pair of segments at a time has 2^24 keys at most, whatever the partition holds.
+        seen = [np.frombuffer(b"".join(b["fp"]), dtype="<u8").reshape(-1, WORDS) for b in batches if len(b)]
+        for p in range(PAIRS):
+            total = np.zeros(1 << 24, dtype=np.int32)
+            for fp in seen:
+                np.add.at(total, pair_keys(fp, range(p, p + 1))[1] & 0xFFFFFF, 1)
+            at = np.flatnonzero(total >= often)
+            yield pd.DataFrame({"key": at.astype(np.int64) | (p << 24), "c": total[at].astype(np.int64)})
+
+    rows = in_pandas(prints.select("name", "fp"), of, "key long, name long, bits long")
+    counts = in_pandas(prints.select("name", "fp"), frequent, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"), F.count("*").alias("in"))
+    # Partitions that don't report a key have fewer than ``often`` rows of it each.
+    most = F.col("c") + (F.lit(parts) - F.col("in")) * F.lit(often - 1)
+    heavy = cut(counts.where(most > large).select("key", F.ceil(most * 2 / large).alias("m")))
+    if not heavy.head(1):
+        return rows
+    spread = rows.join(heavy, "key", "left").withColumn("c", F.expr("pmod(name, m)")).withColumn("o", F.explode(F.when(F.col("m").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))).where("m IS NULL OR o <> c")
+    return spread.select(F.when(F.col("m").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o"))).alias("key"), "name", "bits")
+
+
+def _by_key(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key")
+
+
+def candidates(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs u, v of names of long fingerprints (name, fp) that share a key and are near in the first word, and the keys that have more."""
+    got = cut(in_pandas(_by_key(_dealt(prints)), _first_links, "u long, v long, more long"))
+    return got.where("u IS NOT NULL").select("u", "v").distinct(), got.where("more IS NOT NULL").select(F.col("more").alias("key")).distinct()
+
+
+def other_candidates(prints: DataFrame, keys: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs as above under ``keys``, all but those with one root."""
+    rows = _dealt(prints).join(keys, "key", "left_semi")
+    rows = rows.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    return in_pandas(_by_key(rows), _other_links, "u long, v long, more long").select("u", "v").distinct()
+
+
+def close(prints: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs u, v that differ in ALL_BITS or fewer."""
     a, b = (prints.select(F.col("name").alias(x), F.col("fp").alias(f"f{x}")) for x in "uv")
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -300,7 +359,7 @@ def close(prints: DataFrame) -> DataFrame:
             fu, fv = (np.frombuffer(b"".join(x[c]), dtype="<u8").reshape(-1, WORDS) for c in ("fu", "fv"))
             yield x.loc[np.bitwise_count(fu ^ fv).sum(axis=1) <= ALL_BITS, ["u", "v"]]
 
-    return in_pandas(candidates(prints).join(a, "u").join(b, "v"), near, "u long, v long")
+    return in_pandas(pairs.join(a, "u").join(b, "v"), near, "u long, v long")
 
 
 def similar(pairs: DataFrame, bodies: DataFrame, k: int = 5) -> DataFrame:
@@ -353,12 +412,21 @@ def near_dedup(docs: DataFrame, k: int = 5) -> DataFrame:
     rows = cut(in_pandas(named.select("_id", "_t1", "_t2", "text"), of, "_id long, _t1 long, _t2 long, name long, fp binary"))
     # One row for each name first: a name may belong to a third of all rows.
     prints = cut(rows.groupBy("name").agg(F.min("fp").alias("fp"), F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_t1", "_t2")).alias("x")))
-    pairs = cut(close(prints))
-    # Texts are fetched for names in a pair only.
-    asked = pairs.select(F.col("u").alias("name")).union(pairs.select("v")).distinct().join(prints, "name").select("name", F.col("x._id").alias("i"), F.col("x._t1").alias("a"), F.col("x._t2").alias("b"))
-    found = named.select("_id", "_t1", "_t2", "text").join(asked, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_t1") == F.col("a")) & (F.col("_t2") == F.col("b")))
-    bodies = cut(in_pandas(found.select("name", "text"), packed, "name long, body binary").dropDuplicates(["name"]))
-    roots = components(similar(pairs, bodies, k))
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        pairs = cut(close(prints, pairs))
+        # Texts are fetched for names in a pair only.
+        asked = pairs.select(F.col("u").alias("name")).union(pairs.select("v")).distinct().join(prints, "name").select("name", F.col("x._id").alias("i"), F.col("x._t1").alias("a"), F.col("x._t2").alias("b"))
+        found = named.select("_id", "_t1", "_t2", "text").join(asked, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_t1") == F.col("a")) & (F.col("_t2") == F.col("b")))
+        bodies = cut(in_pandas(found.select("name", "text"), packed, "name long, body binary").dropDuplicates(["name"]))
+        return cut(similar(pairs, bodies, k))
+
+    pairs, crowded = candidates(prints)
+    links = links_of(pairs)
+    roots = components(links)
+    if crowded.head(1):  # what the nearest few left apart
+        links = links.union(links_of(other_candidates(prints, crowded, roots)))
+        roots = components(links)
     stays = prints.join(roots, prints["name"] == roots["node"], "left").groupBy(F.coalesce("root", "name").alias("root")).agg(F.min("x").alias("x"))
     stays = stays.select(F.col("x._id").alias("i"), F.col("x._t1").alias("a"), F.col("x._t2").alias("b"))
     same = named["_id"].eqNullSafe(stays["i"]) & (named["_t1"] == stays["a"]) & (named["_t2"] == stays["b"])
