@@ -1,14 +1,21 @@
 """BPE as a deterministic automaton, for encoding, decoding and counting.
 
 The automaton reads tokens.  It starts with a single state that loops on every base symbol, and merges are built in one after
-another.  The gadget of merge (a, b) -> c: where an arc a leads to a state with an arc b, an arc c is added that goes where b
-went, and arc a is led to a copy of its target without b.  All arcs of one token lead to one state, so the gadgets need no
-transition matrix: a state is its token, the state of c inherits the arcs of b as they were when c came, an arc c leaves a
-state if a left it then, and merge (a, b) takes arc b from the state of a.  ``Automaton.arc`` unrolls just that, and keeps
-what it found.  The result accepts exactly the token sequences that BPE makes.
-
-For a word, one token ends each prefix: the only one with an arc from the state where it begins.  Encoding fills that table
-from left to right; the labels of the arcs passed are the tokens, and their texts are what decoding emits.
+another.  The gadget of merge (x, y) -> c: where an arc x leads to a state with an arc y, an arc c is added that goes where y
+went, and arc x is led to a copy of its target without y.  All arcs of one token lead to one state, so a state is its token.
+
+What a gadget takes away, compiled.  The state of c inherits the arcs of y, and an arc c leaves a state if x left it then.  So
+merge (x, y) takes arc y, and all arcs that come after it with y as their first part, from the state of x and from all states
+that come after it with x as their second part.  Tokens form a tree by their second parts and one by their first parts.
+Numbered in postorder, children by age, what comes after x, and after y, are two ranges of numbers: each gadget clears a
+rectangle of the table of states and arcs.  (With x = y the arc c goes too: of three x the first two merge.)  The rectangles are
+cut into rows and joined into disjoint stretches, two arrays of integers in which one search says whether an arc is left.  The
+result accepts exactly the token sequences that BPE makes.
+
+Words.  A second table, a suffix automaton of the tokens' letters (Aho-Corasick), gives for every place of a word the longest
+token that ends there, and for every token the next shorter one.  One token ends each prefix of a word: the only one with an
+arc from the state where it begins.  Encoding fills that table from left to right by steps in the two automata; each arc emits
+one token; the labels of the arcs passed are the tokens, and their texts are what decoding emits.
 """
 
 from __future__ import annotations
@@ -16,10 +23,13 @@ from __future__ import annotations
 import json
 import unicodedata
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import regex
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 #: Characters that the tokenizer's \s matches, its splitting pattern, and its sigma, which has no final form.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -47,63 +57,130 @@ class Automaton:
         self.ids: dict[str, int] = model["vocab"]
         self.labels = {i: t for t, i in self.ids.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        #: When a token came (-1: a base symbol), and its two parts.
-        self.born, self.parts = array("i", [-1] * len(self.labels)), {}
-        self.merged: dict[tuple[int, int], int] = {}
-        for time, (a, b) in enumerate(model["merges"]):
-            c = self.ids[a + b]
-            self.born[c], self.parts[c] = time, (self.ids[a], self.ids[b])
-            self.merged[self.ids[a], self.ids[b]] = time
-        #: Length of the longest token by its last three symbols; tokens of one or two aren't in it.
-        self.longest: dict[str, int] = {}
-        for t in self.ids:
-            n = len(t) - len(self.end) * t.endswith(self.end)
-            if n > 2:
-                last = t[n - 3 :]
-                self.longest[last] = max(n, self.longest.get(last, 0))
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self._compile_arcs([(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in model["merges"]])
+        self._compile_letters()
+
+    def _compile_arcs(self, merges: list[tuple[int, int, int]]) -> None:
+        """Numbers ``row`` and ``column`` of each token, and the stretches ``gone`` to ``until`` of cleared cells."""
+        n = len(self.labels)
+        born = array("i", [-1] * n)
+        for time, (_, _, c) in enumerate(merges):
+            born[c] = time
+        order = []
+        for part in (1, 0):
+            later: dict[int, list[int]] = {}
+            for m in merges:
+                later.setdefault(m[part], []).append(m[2])
+            low, at, k = array("i", [0] * n), array("i", [0] * n), 0
+            for base in (t for t in range(n) if born[t] < 0):
+                low[base], stack = k, [(base, iter(later.get(base, ())))]
+                while stack:
+                    t, rest = stack[-1]
+                    child = next(rest, None)
+                    if child is None:
+                        at[t], k = k, k + 1
+                        stack.pop()
+                    else:
+                        low[child] = k
+                        stack.append((child, iter(later.get(child, ()))))
+            order.append((later, low, at))
+
+        def first(part: int, t: int, time: int) -> int:
+            """Number of the first of what comes after ``t`` at ``time`` or later."""
+            later, low, at = order[part]
+            of = later.get(t, ())
+            k = bisect_left(of, time, key=born.__getitem__)
+            return low[of[k]] if k < len(of) else at[t]
+
+        self.row, self.column = order[0][2], order[1][2]
+        cleared = np.array([(first(0, x, time + 1), self.row[x], first(1, y, time + (x != y)), self.column[y]) for time, (x, y, _) in enumerate(merges)], dtype=np.int64).reshape(-1, 4)
+        rows = cleared[:, 1] - cleared[:, 0] + 1
+        which = np.repeat(np.arange(len(cleared)), rows)
+        base = (cleared[which, 0] + np.arange(len(which)) - np.repeat(np.cumsum(rows) - rows, rows)) * n
+        gone, until = base + cleared[which, 2], base + cleared[which, 3]
+        by = np.argsort(gone, kind="stable")
+        gone, until = gone[by], np.maximum.accumulate(until[by])
+        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(gone)), dtype=bool), gone[1:] > until[:-1])))
+        self.gone, self.until = array("q", gone[new].tobytes()), array("q", until[np.append(new[1:], len(gone)) - 1].tobytes() if len(new) else b"")
+        self.row = array("q", (np.array(self.row, dtype=np.int64) * n).tobytes())
+
+    def _compile_letters(self) -> None:
+        """Steps between nodes by letter; the longest token that ends at a node, the next shorter one, and sizes in letters."""
+        self.step: list[dict[str, int]] = [{}]
+        named = array("i", [-1])
+        for t, i in self.ids.items():
+            if t in self.special:
+                continue
+            node = 0
+            for letter in self.spelt(t):
+                at = self.step[node].get(letter)
+                if at is None:
+                    at = self.step[node][letter] = len(self.step)
+                    self.step.append({})
+                    named.append(-1)
+                node = at
+            named[node] = i
+        self.back = array("i", [0] * len(self.step))
+        self.longest = array("i", named)
+        self.shorter, self.size = array("i", [-1] * len(self.labels)), array("i", [0] * len(self.labels))
+        level, depth = [0], 0
+        while level:
+            depth, below = depth + 1, []
+            for node in level:
+                for letter, at in self.step[node].items():
+                    below.append(at)
+                    other = self.back[node]
+                    while node and letter not in self.step[other] and other:
+                        other = self.back[other]
+                    self.back[at] = self.step[other].get(letter, 0) if node else 0
+                    less = self.longest[self.back[at]]
+                    if named[at] >= 0:
+                        self.shorter[named[at]], self.size[named[at]] = less, depth - (letter == self.end)
+                    else:
+                        self.longest[at] = less
+            level = below
+
+    def spelt(self, t: str) -> list[str]:
+        """Letters of a token; the mark of a word's end is one more."""
+        return [*t[: -len(self.end)], self.end] if self.end and t.endswith(self.end) else [*t]
 
     def arc(self, u: int, v: int) -> bool:
         """Whether the state of token u has an arc v once all merges are built in."""
-        got = self.arcs.get((u, v))
-        if got is None:
-            if len(self.arcs) > 2_000_000:
-                self.arcs.clear()
-            got = self.arcs[u, v] = self._arc(u, v, len(self.merged))
-        return got
-
-    def _arc(self, u: int, v: int, time: int) -> bool:
-        """The same before the merge of ``time``."""
-        while self.merged.get((u, v), time) >= time:
-            if self.born[u] < 0 and self.born[v] < 0:
-                return True
-            if self.born[u] > self.born[v]:  # the state of u came as that of its second part
-                time, u = self.born[u], self.parts[u][1]
-            else:  # arc v came beside the arc of its first part
-                a, b = self.parts[v]
-                if u == a == b:  # the copy lost that arc at this very merge
-                    return False
-                time, v = self.born[v], a
-        return False
+        cell = self.row[u] + self.column[v]
+        k = bisect_right(self.gone, cell)
+        return not k or self.until[k - 1] < cell
 
     def encode(self, word: str) -> list[int]:
-        """Tokens of one word, in letters for bytes."""
-        ids, arc, n, longest = self.ids, self.arc, len(word), self.longest
+        """Tokens of one word, in letters for bytes.  A letter that the vocabulary lacks: ValueError; byte vocabularies lack none."""
+        step, back, longest, shorter, size, row, column, gone, until = self.step, self.back, self.longest, self.shorter, self.size, self.row, self.column, self.gone, self.until
+        n, node = len(word), 0
         ending: list[int] = [-1] * (n + 1)
-        starts = [0] * (n + 1)
-        for i in range(1, n + 1):
-            tail = self.end if i == n else ""
-            for j in range(max(0, i - longest.get(word[i - 3 : i] + tail, 2)) if i > 2 else 0, i):
-                t = ids.get(word[j:i] + tail if tail else word[j:i])
-                if t is not None and (j == 0 or arc(ending[j], t)):
-                    ending[i], starts[i] = t, j
+        for i, letter in enumerate((*word, self.end), 1):
+            if i == n:
+                last = letter
+                continue  # the last letter is read with the mark that follows it
+            for x in ((last, letter) if i > n else (letter,)):
+                while x not in step[node] and node:
+                    node = back[node]
+                node = step[node].get(x, 0)
+            at = min(i, n)
+            t = longest[node]
+            while t >= 0:
+                j = at - size[t]
+                if not j:
+                    break
+                cell = row[ending[j]] + column[t]
+                k = bisect_right(gone, cell)
+                if not k or until[k - 1] < cell:
                     break
+                t = shorter[t]
             else:
                 raise ValueError(f"no path for {word!r}")
-        out, i = [], n
-        while i:
-            out.append(ending[i])
-            i = starts[i]
+            ending[at] = t
+        out, at = [], n
+        while at:
+            out.append(ending[at])
+            at -= size[ending[at]]
         return out[::-1]
 
 
@@ -123,6 +200,24 @@ class Cached(dict):
         return got
 
 
+class Odd(dict):
+    """Whether a character is new to some table: unassigned here, or sorted or lowered otherwise than the library does."""
+
+    def __init__(self):
+        super().__init__()
+        self.lower = normalizers.Lowercase()
+        self.kinds = [(pre_tokenizers.Split(Regex(x), "removed"), regex.compile(x)) for x in (r"\p{L}", r"\p{N}", r"\s")]
+
+    def __missing__(self, c: str) -> bool:
+        low = c if c in SIGMA else c.lower()
+        got = unicodedata.category(c) in ("Cn", "Cs") or self.lower.normalize_str(c) != (SIGMA[1] if c in SIGMA else low)
+        space = regex.compile(f"[{SPACE}]")
+        for (split, own), mine in zip(self.kinds, (None, None, space), strict=True):
+            got = got or (not split.pre_tokenize_str(c)) != bool((mine or own).match(c))
+        self[c] = got
+        return got
+
+
 class Tokenizer:
     """The file's tokenizer: special strings, normalisation, splitting into words, then the automaton."""
 
@@ -131,6 +226,10 @@ class Tokenizer:
         self.letters = {b: c for b, c in enumerate(byte_letters())}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.automaton.special, key=len, reverse=True))) + ")")
         self.split = regex.compile(SPLIT)
+        #: The library's own tables, for parts of a text with a character on which tables of other versions differ.
+        self.odd = Odd()
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.own_split = pre_tokenizers.Split(Regex(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), "removed", invert=True)
         self.words = Cached(self._word)
         self.counts = Cached(lambda w: len(self.automaton.encode(self._spelt(w))))
 
@@ -142,7 +241,7 @@ class Tokenizer:
         return array("I", ids).tobytes(), self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
-        """Labels of the arcs, a blank between two: the file names no decoder that would join them."""
+        """Labels of the arcs, a blank between two: the file names no decoder that would join them.  An unknown id: KeyError."""
         return " ".join(map(self.automaton.labels.__getitem__, ids))
 
     def pieces(self, text: str) -> Iterator[list[str] | int]:
@@ -150,6 +249,8 @@ class Tokenizer:
         for i, part in enumerate(self.special.split(text)):
             if i % 2:
                 yield self.automaton.special[part]
+            elif part and not part.isascii() and any(map(self.odd.__getitem__, set(part))):
+                yield [x for x, _ in self.own_split.pre_tokenize_str(self.normal.normalize_str(part))]
             elif part:
                 yield self.split.findall(unicodedata.normalize("NFC", part).replace(*SIGMA).lower())
 

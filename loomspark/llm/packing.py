@@ -23,12 +23,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import byte_letters
+from .bpe import SPACE, byte_letters
 from .common import cut, in_pandas
 
 CAPACITY = 1024
@@ -229,6 +230,31 @@ def byte_tokenizer(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: A run of so many blanks is too long for the splitting pattern, whose matcher steps back over it.
+LONG_RUN = 100_000
+_LONG = regex.compile(f"[{SPACE}]{{{LONG_RUN},}}+")
+
+
+def encode_whole(t: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of a text of any length.
+
+    A long run of blanks is a piece by itself, but for its last blank if something follows: that one belongs to the next piece.
+    """
+    if len(text) < LONG_RUN or _LONG.search(text) is None:
+        return t.encode(text, allowed_special="all")
+    out: list[int] = []
+    special = regex.compile("(" + "|".join(map(regex.escape, sorted(t.special_tokens_set, key=len, reverse=True))) + ")") if t.special_tokens_set else None
+    for part in special.split(text) if special else [text]:
+        at = 0
+        for run in _LONG.finditer(part):
+            end = run.end() - (run.end() < len(part))
+            out += t.encode(part[at : run.start()], allowed_special="all")
+            out += t._encode_single_piece(part[run.start() : end])
+            at = end
+        out += t.encode(part[at:], allowed_special="all")
+    return out
+
+
 def cut_points(n: int, capacity: int) -> list[int]:
     """Starts of the pieces of ``n`` ids: all but the first are full."""
     return [0, *range(n % capacity or capacity, n, capacity)]
@@ -242,7 +268,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                ids = np.array([*t.encode(text or "", allowed_special="all"), end_id], dtype="<u4")
+                ids = np.array([*encode_whole(t, text or ""), end_id], dtype="<u4")
                 for i, a in enumerate(cut_points(len(ids), capacity)):
                     one = ids[a : a + capacity] if i else ids[: len(ids) % capacity or capacity]
                     rows.append((doc_id, i, a, len(one), zlib.crc32(one.tobytes()), part, seen[len(one)]))

@@ -1,6 +1,7 @@
 """Each operator against a plain version, on the edge cases of ``fixtures``."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -9,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
-from loomspark.llm import components, encoding, language, packing, quality_classifier, quality_rules, sharding, simhash, substring, token_counts, topk
+from loomspark.llm import bpe, components, encoding, language, packing, quality_classifier, quality_rules, sharding, simhash, substring, token_counts, topk
 from tokenizers import Tokenizer
 
 from .fixtures import A, docs, empty, local, text
@@ -45,6 +46,14 @@ def test_packing(spark):
     assert packing.best_fit(empty(spark), BYTE).count() == 0
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "a", "\u3000", " \n\t", "\u00a0", "7", "!?"])
+def test_very_long_runs(run):
+    ref, t = Tokenizer.from_file(BYTE), packing.byte_tokenizer(BYTE)
+    long = run * (2_000_000 // len(run))
+    for x in (f"a{long}b", long, f"<|endoftext|>{long}<|endoftext|> {long[:150_000]}\u0301x {long[:99_999]}"):
+        assert packing.encode_whole(t, x) == ref.encode(x, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("histogram, most", [({}, 0), ({1024: 3}, 3), ({700: 100, 300: 90, 20: 7}, 100), (Counter(np.random.default_rng(0).integers(1, 1025, 20_000).tolist()), 10_150)])
 def test_plans_hold_every_piece(histogram, most):
     bins, held = packing.pack(dict(histogram)), Counter()
@@ -160,6 +169,31 @@ def test_encoding_and_counts(spark):
     assert encoding.digest(empty(spark), WORD).count() == token_counts.token_counts(empty(spark), WORD).count() == 0
 
 
+def test_code_points_and_mixed_texts():
+    """Ids of the library, for code points (all up to U+3000, every 31st beyond) among letters, digits and marks."""
+    ref, own = Tokenizer.from_file(WORD), bpe.Tokenizer(WORD)
+    byte_ref, byte_own = Tokenizer.from_file(BYTE), packing.byte_tokenizer(BYTE)
+    points = [chr(c) for c in [*range(1, 0x3000), *range(0x3000, 0x110000, 31)] if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"{c}a{c}{c}1 Z'{c}s" for c in points[i : i + 16]) for i in range(0, len(points), 16)]
+    r = random.Random(5)
+    pool = [*"abcdefghijklmnopqrstuvwxyz '", *(chr(r.randrange(1, 0x3000)) for _ in range(300)), "<|endoftext|>", "'ll", " ", "\n", "the", "ing", "\u0301", "\u1100", "\u1161"]
+    texts += ["".join(r.choice(pool) for _ in range(r.randrange(1, 60))) for _ in range(4_000)]
+    for x, got, byte_got in zip(texts, ref.encode_batch(texts, add_special_tokens=False), byte_ref.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(own.encode(x)[0], dtype="<u4").tolist() == got.ids, ascii(x)
+        assert packing.encode_whole(byte_own, x) == byte_got.ids, ascii(x)
+
+
+def test_arcs_are_the_pairs_that_bpe_makes():
+    """An arc is there if and only if the library gives two tokens back from their texts; words without an end within."""
+    ref, a = Tokenizer.from_file(WORD), bpe.Tokenizer(WORD).automaton
+    r = random.Random(6)
+    inner = [(t, i) for t, i in a.ids.items() if t.isascii() and t.isalpha() and t.islower()]
+    last = [(t, i) for t, i in a.ids.items() if t.endswith("</w>") and t[:-4].isascii() and t[:-4].isalpha() and t[:-4].islower()]
+    pairs = [(r.choice(inner), r.choice(last)) for _ in range(20_000)]
+    for ((x, u), (y, v)), got in zip(pairs, ref.encode_batch([x + y[:-4] for (x, _), (y, _) in pairs], add_special_tokens=False)):
+        assert a.arc(u, v) == (got.ids == [u, v]), (x, y)
+
+
 @pytest.mark.parametrize("chunk", [1, 3, 50])
 def test_chunk_maps_compose(chunk):
     t = token_counts.tokenizer(WORD)
