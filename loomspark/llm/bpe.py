@@ -231,7 +231,8 @@ class Tokenizer:
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.own_split = pre_tokenizers.Split(Regex(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), "removed", invert=True)
         self.words = Cached(self._word)
-        self.counts = Cached(lambda w: len(self.automaton.encode(self._spelt(w))))
+        self.transducer = None
+        self.counts = Cached(self._count)
 
     def _spelt(self, word: str) -> str:
         return word if word.isascii() and word.isalnum() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
@@ -240,6 +241,13 @@ class Tokenizer:
         ids = self.automaton.encode(self._spelt(word))
         return array("I", ids).tobytes(), self.decode(ids)
 
+    def _count(self, word: str) -> int:
+        if self.transducer is None:
+            from .token_counts import Transducer
+
+            self.transducer = Transducer(self.automaton)
+        return self.transducer.count(self._spelt(word))
+
     def decode(self, ids: list[int]) -> str:
         """Labels of the arcs, a blank between two: the file names no decoder that would join them.  An unknown id: KeyError."""
         return " ".join(map(self.automaton.labels.__getitem__, ids))

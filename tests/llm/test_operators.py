@@ -194,6 +194,23 @@ def test_arcs_are_the_pairs_that_bpe_makes():
         assert a.arc(u, v) == (got.ids == [u, v]), (x, y)
 
 
+def test_transducer_counts_like_the_automaton(monkeypatch):
+    t = bpe.Tokenizer(WORD)
+    words = {t._spelt(w) for _, x in [(0, text(400, 12)), (0, "internationalization mississippi aaaaaaaaaaaa banana \u00e9t\u00e9 123 !!! \u65e5\u672c\u8a9e")] for w in t.split.findall(x)} | {"a" * n for n in range(1, 40)}
+    for most in (60_000, 20):
+        monkeypatch.setattr(token_counts, "MOST_STATES", most)
+        m = token_counts.Transducer(t.automaton)
+        assert [m.count(w) for w in words] == [len(t.automaton.encode(w)) for w in words] and len(m.states) <= most
+
+
+def test_long_texts_are_counted_by_parts(spark):
+    d = docs(spark, [(1, text(40_000, 1), None, None), (1, text(40_000, 1), None, None), (None, "x" * 90_000, None, None), (3, " \n" * 60_000, None, None), (4, "don't", None, None), (5, None, None, None)])
+    want = key(map(tuple, token_counts.token_counts(d, WORD).collect()))
+    assert key(map(tuple, token_counts.token_counts(d, WORD, long_text=30_000).collect())) == want
+    ref = Tokenizer.from_file(WORD)
+    assert want == key((i, len((x or "").encode()), n, n > 2048) for i, x in local(d) for n in [len(ref.encode(x or "", add_special_tokens=False).ids)])
+
+
 @pytest.mark.parametrize("chunk", [1, 3, 50])
 def test_chunk_maps_compose(chunk):
     t = token_counts.tokenizer(WORD)
