@@ -1,26 +1,28 @@
 """Quality rules as a short-circuit cascade.
 
-A rule is a condition on which a document fails.  The rejection share of each rule, and the work its condition needs, are
-estimated on a bounded sample; the rules then stand in one conditional expression in falling order of rejection per cost,
-so that a document pays only for the rules up to the first that it fails.  The order never changes a verdict.
+A rule is a condition on which a document fails.  On a bounded sample each rule's rejection share is counted and its evaluation
+timed; the rules then stand in one conditional expression in falling order of rejection per cost, so that a document pays only
+for the rules up to the first that it fails.  The order never changes a verdict.
 
 Only DataFrame functions: no Python on the executors.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import cut, words
 
 #: Rows, on average, of the sample on which the order is decided, whatever the size of the input.
 SAMPLE_ROWS = 2000
 #: Fixed shares, in hundredths.
 MIN_WORDS, MAX_REPEAT, MAX_SYMBOLS, MAX_DUP_LINES, MIN_MEAN_CHARS, MAX_MEAN_CHARS = 50, 50, 20, 50, 200, 1500
+MIN_LETTERS, MAX_BULLETS, MAX_ELLIPSES = 50, 90, 50
 
 
 def split_words(docs: DataFrame) -> DataFrame:
@@ -49,40 +51,60 @@ def _dup_lines(w: Column) -> Column:
     return (F.size(_lines()) - F.size(F.array_distinct(_lines()))).cast("long")
 
 
-#: Texts of up to so many words keep hash and place of a window in one 64-bit number, longer ones in a struct.
+def _letters(w: Column) -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(r"\p{L}")), F.lit(0)).cast("long")
+
+
+def _lines_like(pattern: str) -> Callable[[Column], Column]:
+    return lambda w: F.size(F.filter(_lines(), lambda x: x.rlike(pattern))).cast("long")
+
+
+#: Texts of up to so many words keep hash and place of a window in one 64-bit number; longer ones compare windows as strings.
 PACKED_WORDS = 1 << 15
 
 
+def _hash(a: Column, b: Column, c: Column) -> Column:
+    return F.xxhash64(a, b, c)
+
+
 def _repeat_words(w: Column) -> Column:
     """Words inside 3-word windows that the text has twice or more.
 
     Windows are sorted by hash and place; those with an equal neighbour repeat.  Each repeating window then adds the words
     up to the start of the next one, three at most.  Sorting plain numbers is far cheaper than sorting structs, so the place
-    takes the low bits that the text's length needs and the hash the rest (49 bits at least).
+    takes the low bits that the text's length needs and the hash the rest.  Neighbours with equal hashes are compared word by
+    word; a text in which two such differ has its windows sorted as strings, so the number is exact.
     """
     n, at, zero = F.size(w), F.get, F.lit(0).cast("long")
     bits = F.length(F.bin(n))
-    hashed = F.transform(w, lambda x: F.xxhash64(x))
-    windows = lambda h, of: F.transform(F.sequence(F.lit(0), n - 3), lambda i: of(F.xxhash64(at(h, i), at(h, i + 1), at(h, i + 2)), i))
-    beside = lambda s, key: F.filter(s, lambda x, i: (key(x) == key(at(s, i + 1))) | (key(x) == key(at(s, i - 1))))
     high = lambda x: F.call_function("shiftright", x, bits)
-    packed = bound(hashed, lambda h: F.sort_array(windows(h, lambda w, i: F.call_function("shiftleft", w, bits).bitwiseOR(i.cast("long")))))
-    places = bound(packed, lambda s: F.transform(beside(s, high), lambda x: x - F.call_function("shiftleft", high(x), bits)))
-    pairs = bound(hashed, lambda h: F.sort_array(windows(h, lambda w, i: F.struct(w.alias("h"), i.cast("long").alias("p")))))
-    long_places = bound(pairs, lambda s: F.transform(beside(s, lambda x: x["h"]), lambda x: x["p"]))
-    covered = lambda ps: F.aggregate(F.transform(ps, lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(at(ps, i + 1) - p, F.lit(3).cast("long")))), zero, lambda a, x: a + x)
-    return F.when(n < 3, zero).otherwise(bound(F.sort_array(F.when(n <= PACKED_WORDS, places).otherwise(long_places)), covered))
-
-
-#: Feature: its expression, and the sample column whose mean its work follows, with the work for each unit.
-FEATURES: Mapping[str, tuple[Callable[[Column], Column], str, float]] = {
-    "n_words": (lambda w: F.size(w).cast("long"), "one", 1),
-    "word_chars": (_word_chars, "chars", 0.2),
-    "n_symbols": (_symbols, "chars", 1),
-    "n_dup_lines": (_dup_lines, "chars", 1.5),
-    "n_lines": (lambda w: F.size(_lines()).cast("long"), "chars", 1),
-    "n_repeat_words": (_repeat_words, "words", 60),
+    place = lambda x: (x - F.call_function("shiftleft", high(x), bits)).cast("int")
+    windows = lambda of: F.transform(F.sequence(F.lit(0), n - 3), of)
+    beside = lambda s, key: F.filter(s, lambda x, i: (key(x) == key(at(s, i + 1))) | (key(x) == key(at(s, i - 1))))
+    same = lambda p, q: (at(w, p) == at(w, q)) & (at(w, p + 1) == at(w, q + 1)) & (at(w, p + 2) == at(w, q + 2))
+    clash = lambda s: F.size(F.filter(s, lambda x, i: (high(x) == high(at(s, i + 1))) & ~same(place(x), place(at(s, i + 1))))) > 0
+    packed = F.sort_array(windows(lambda i: F.call_function("shiftleft", _hash(at(w, i), at(w, i + 1), at(w, i + 2)), bits).bitwiseOR(i.cast("long"))))
+    by_hash = bound(bound(packed, lambda s: beside(s, high)), lambda s: F.when(~clash(s), F.transform(s, place)))
+    named = F.sort_array(windows(lambda i: F.struct(F.concat_ws(" ", at(w, i), at(w, i + 1), at(w, i + 2)).alias("s"), i.alias("p"))))
+    by_words = bound(named, lambda s: F.transform(beside(s, lambda x: x["s"]), lambda x: x["p"]))
+    covered = lambda ps: F.aggregate(F.transform(ps, lambda p, i: F.least(F.lit(3), F.coalesce(at(ps, i + 1) - p, F.lit(3))).cast("long")), zero, lambda a, x: a + x)
+    return F.when(n < 3, zero).otherwise(bound(F.sort_array(F.coalesce(F.when(n <= PACKED_WORDS, by_hash), by_words)), covered))
+
+
+#: Features that the rules need, each from the words of a text and the text itself.
+FEATURES: Mapping[str, Callable[[Column], Column]] = {
+    "n_words": lambda w: F.size(w).cast("long"),
+    "word_chars": _word_chars,
+    "n_symbols": _symbols,
+    "n_dup_lines": _dup_lines,
+    "n_repeat_words": _repeat_words,
+    "n_lines": lambda w: F.size(_lines()).cast("long"),
+    "n_letters": _letters,
+    "n_bullet_lines": _lines_like(r"^[\x20\x09]*[*\u2022\u25aa\u25cf-]"),
+    "n_ellipsis_lines": _lines_like(r"(\.\.\.|\u2026)[\x20\x09\x0D]*$"),
 }
+#: Those that ``measure`` returns for every document; the others are computed only where a rule asks for them.
+MEASURED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -101,31 +123,53 @@ RULES = (
     Rule("symbols", ("n_words", "n_symbols"), lambda f: f["n_symbols"] * 100 > f["n_words"] * MAX_SYMBOLS),
     Rule("repeated_lines", ("n_lines", "n_dup_lines"), lambda f: f["n_dup_lines"] * 100 > f["n_lines"] * MAX_DUP_LINES),
     Rule("short_or_long_words", ("n_words", "word_chars"), lambda f: (f["word_chars"] * 100 < f["n_words"] * MIN_MEAN_CHARS) | (f["word_chars"] * 100 > f["n_words"] * MAX_MEAN_CHARS)),
+    Rule("few_letters", ("n_letters", "word_chars"), lambda f: f["n_letters"] * 100 < f["word_chars"] * MIN_LETTERS),
+    Rule("bullets", ("n_bullet_lines", "n_lines"), lambda f: f["n_bullet_lines"] * 100 > f["n_lines"] * MAX_BULLETS),
+    Rule("ellipses", ("n_ellipsis_lines", "n_lines"), lambda f: f["n_ellipsis_lines"] * 100 > f["n_lines"] * MAX_ELLIPSES),
 )
 
 
-def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """Rules with their rejection share and cost, best first; ties and an empty sample keep the given order."""
+def _features(w: Column, ready: Mapping[str, Column]) -> Mapping[str, Column]:
+    return {k: ready[k] if k in ready else made(w) for k, made in FEATURES.items()}
+
+
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, ready: tuple[str, ...] = ()) -> list[tuple[Rule, float, float]]:
+    """Rules with their rejection share and cost, most rejection per cost first; an empty sample keeps the given order.
+
+    The cost of a rule is the time to evaluate it on the sample, the better of two runs, over that of a rule that needs
+    nothing.  Features that are ``ready`` cost nothing.
+    """
     share = min(1.0, sample_rows / max(1, docs.count()))
     seen = split_words(docs.select("text").sample(fraction=share, seed=7))
-    seen = seen.select(F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"), F.size("_words").alias("words"), *(F.coalesce(rule.fails({k: FEATURES[k][0](F.col("_words")) for k in rule.needs}), F.lit(False)).cast("int").alias(f"r{i}") for i, rule in enumerate(rules)))
-    got = seen.agg(F.avg("chars").alias("chars"), F.avg("words").alias("words"), *(F.avg(f"r{i}").alias(f"r{i}") for i in range(len(rules)))).first()
-    unit = {"one": 1.0, "chars": got["chars"] or 1.0, "words": got["words"] or 1.0}
-    costed = [(rule, got[f"r{i}"] or 0.0, sum(FEATURES[k][2] * unit[FEATURES[k][1]] for k in rule.needs)) for i, rule in enumerate(rules)]
-    return sorted(costed, key=lambda x: -x[1] / x[2])
+    seen = cut(seen.select("*", *(FEATURES[k](F.col("_words")).alias(k) for k in ready)).repartition(docs.sparkSession.sparkContext.defaultParallelism))
+
+    def run(fails: Column) -> tuple[float, float]:
+        best, got = float("inf"), 0.0
+        for _ in range(2):
+            began = time.perf_counter()
+            got = seen.agg(F.avg(F.coalesce(fails, F.lit(False)).cast("int"))).first()[0] or 0.0
+            best = min(best, time.perf_counter() - began)
+        return got, best
 
+    f = _features(F.col("_words"), {k: F.col(k) for k in ready})
+    nothing = run(F.isnull(F.get(F.col("_words"), F.lit(0))))[1]
+    costed = [(rule, *run(rule.fails(f))) for rule in rules]
+    return sorted(((rule, got, max(took - nothing, 1e-4)) for rule, got, took in costed), key=lambda x: -x[1] / x[2])
 
-def verdict(rules: list[Rule], features: Mapping[str, Column] | None = None) -> Column:
+
+def verdict(rules: list[Rule], ready: Mapping[str, Column] | None = None) -> Column:
     """Name of the first rule that fails, in the order given, or null; a later rule isn't evaluated.
 
-    ``features``: columns that are there already; without them each rule computes what it needs.
+    ``ready``: features that are there already; each rule computes what else it needs.
     """
-    if features is None:
-        return bound(words(F.col("text")), lambda w: verdict(rules, {k: made(w) for k, (made, _, _) in FEATURES.items()}))
-    f, chain = features, None
-    for rule in rules:
-        chain = F.when(rule.fails(f), F.lit(rule.name)) if chain is None else chain.when(rule.fails(f), F.lit(rule.name))
-    return chain if chain is not None else F.lit(None).cast("string")
+
+    def chain(w: Column) -> Column:
+        f, out = _features(w, ready or {}), F
+        for rule in rules:
+            out = out.when(rule.fails(f), F.lit(rule.name))
+        return out if rules else F.lit(None).cast("string")
+
+    return bound(words(F.col("text")), chain)
 
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -138,12 +182,17 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All features of every document, base_failed, and kept, the cascade's verdict."""
-    ordered = [r for r, _, _ in order_rules(docs, rules)]
+    """MEASURED of every document, base_failed, and kept: no rule fails.
+
+    The base is looked at first.  Only what passes it goes through the cascade of the other rules, which computes the features
+    that are not MEASURED as it needs them.
+    """
+    ordered = [r for r, _, _ in order_rules(docs, tuple(r for r in rules if r not in BASE), ready=MEASURED)]
     rows = split_words(docs.select("doc_id", "text"))
-    rows = rows.select("doc_id", *(made(F.col("_words")).alias(k) for k, (made, _, _) in FEATURES.items()))
-    f = {k: F.col(k) for k in FEATURES}
+    rows = rows.select("doc_id", "text", *(FEATURES[k](F.col("_words")).alias(k) for k in MEASURED))
+    f = {k: F.col(k) for k in MEASURED}
     base = F.lit(False)
     for rule in BASE:
         base = base | rule.fails(f)
-    return rows.select("doc_id", *FEATURES, base.alias("base_failed"), verdict(ordered, f).isNull().alias("kept"))
+    rows = rows.withColumn("base_failed", base)
+    return rows.select("doc_id", *MEASURED, "base_failed", F.when(F.col("base_failed"), False).otherwise(verdict(ordered, f).isNull()).alias("kept"))

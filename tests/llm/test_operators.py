@@ -11,9 +11,10 @@ import public_tokenizers
 import pytest
 import xxhash
 from loomspark.llm import bpe, components, encoding, language, packing, quality_classifier, quality_rules, sharding, simhash, substring, token_counts, topk
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .fixtures import A, docs, empty, local, text
+from .fixtures import A, ROWS, docs, empty, local, text
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -246,11 +247,34 @@ def test_rules(spark):
     assert quality_rules.apply_rules(empty(spark)).count() == 0
 
 
-def test_long_texts_take_the_struct_path(spark, monkeypatch):
-    d = docs(spark)
+def test_windows_are_compared_as_words(spark, monkeypatch):
+    """Long texts, and texts with windows of equal hashes and different words, give the same numbers."""
+    d = docs(spark, [*ROWS, (300, " ".join(f"w{i % 20_000}" for i in range(50_000)), None, None)])
     want = key(map(tuple, quality_rules.measure(d).collect()))
     monkeypatch.setattr(quality_rules, "PACKED_WORDS", 10)
     assert key(map(tuple, quality_rules.measure(d).collect())) == want
+    monkeypatch.setattr(quality_rules, "PACKED_WORDS", 1 << 15)
+    monkeypatch.setattr(quality_rules, "_hash", lambda a, b, c: F.length(a).cast("long") % 2)
+    assert key(map(tuple, quality_rules.measure(d).collect())) == want
+
+
+def test_cascade_skips_rules(spark):
+    """A rule after the first that fails is not evaluated, nor is any for a document that fails the base."""
+    boom = quality_rules.Rule("boom", ("n_words",), lambda f: F.raise_error(F.lit("evaluated")).cast("boolean"))
+    rejects = quality_rules.Rule("all", ("n_words",), lambda f: f["n_words"] >= 0)
+    d = docs(spark, [(1, A, None, None), (2, "short", None, None)])
+    assert {r[0] for r in d.select(quality_rules.verdict([rejects, boom])).collect()} == {"all"}
+    with pytest.raises(Exception, match="evaluated"):
+        d.select(quality_rules.verdict([boom, rejects])).collect()
+    short = docs(spark, [(2, "short", None, None), (3, "same words here " * 60, None, None)])
+    rows = quality_rules.split_words(short)
+    base = F.lit(False)
+    for rule in quality_rules.BASE:
+        base = base | rule.fails({k: quality_rules.FEATURES[k](F.col("_words")) for k in rule.needs})
+    assert {r[0] for r in rows.select(F.when(base, F.lit("base")).otherwise(quality_rules.verdict([boom]))).collect()} == {"base"}
+    order = quality_rules.order_rules(docs(spark), quality_rules.RULES)
+    assert {r.name for r, _, _ in order} == {r.name for r in quality_rules.RULES} and all(c > 0 for _, _, c in order)
+    assert [s / c for _, s, c in order] == sorted((s / c for _, s, c in order), reverse=True)
 
 
 def plain_print(t):
