@@ -99,6 +99,7 @@ FEATURES: Mapping[str, Callable[[Column], Column]] = {
     "n_dup_lines": _dup_lines,
     "n_repeat_words": _repeat_words,
     "n_lines": lambda w: F.size(_lines()).cast("long"),
+    "n_bars": lambda w: F.coalesce(F.regexp_count("text", F.lit(r"\|")), F.lit(0)).cast("long"),
     "n_letters": _letters,
     "n_bullet_lines": _lines_like(r"^[\x20\x09]*[*\u2022\u25aa\u25cf-]"),
     "n_ellipsis_lines": _lines_like(r"(\.\.\.|\u2026)[\x20\x09\x0D]*$"),
@@ -120,7 +121,8 @@ BASE = (
 )
 RULES = (
     *BASE,
-    Rule("symbols", ("n_words", "n_symbols"), lambda f: f["n_symbols"] * 100 > f["n_words"] * MAX_SYMBOLS),
+    # Bars divide the cells of a table; a text isn't bad for having one.
+    Rule("symbols", ("n_words", "n_symbols", "n_bars"), lambda f: (f["n_symbols"] * 100 > f["n_words"] * MAX_SYMBOLS) & ((f["n_symbols"] - f["n_bars"]) * 100 > f["n_words"] * MAX_SYMBOLS)),
     Rule("repeated_lines", ("n_lines", "n_dup_lines"), lambda f: f["n_dup_lines"] * 100 > f["n_lines"] * MAX_DUP_LINES),
     Rule("short_or_long_words", ("n_words", "word_chars"), lambda f: (f["word_chars"] * 100 < f["n_words"] * MIN_MEAN_CHARS) | (f["word_chars"] * 100 > f["n_words"] * MAX_MEAN_CHARS)),
     Rule("few_letters", ("n_letters", "word_chars"), lambda f: f["n_letters"] * 100 < f["word_chars"] * MIN_LETTERS),

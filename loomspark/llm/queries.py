@@ -88,11 +88,11 @@ cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i+
 f AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
   coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
-  length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS n_letters, len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09]*[*\x{2022}\x{25aa}\x{25cf}-]'))) AS n_bullets,
+  length(regexp_replace(text, '[^|]', '', 'g')) AS n_bars, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS n_letters, len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09]*[*\x{2022}\x{25aa}\x{25cf}-]'))) AS n_bullets,
   len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[\x20\x09\x0D]*$'))) AS n_ellipses FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 50 * n_lines OR 100 * word_chars < 200 * n_words OR 100 * word_chars > 1500 * n_words
+  NOT (base_failed OR 100 * (n_symbols - n_bars) > 20 * n_words OR 100 * n_dup_lines > 50 * n_lines OR 100 * word_chars < 200 * n_words OR 100 * word_chars > 1500 * n_words
     OR 100 * n_letters < 50 * word_chars OR 100 * n_bullets > 90 * n_lines OR 100 * n_ellipses > 50 * n_lines) AS kept
 FROM b
 """
