@@ -83,7 +83,7 @@ def _repeat_words(w: Column) -> Column:
     beside = lambda s, key: F.filter(s, lambda x, i: (key(x) == key(at(s, i + 1))) | (key(x) == key(at(s, i - 1))))
     same = lambda p, q: (at(w, p) == at(w, q)) & (at(w, p + 1) == at(w, q + 1)) & (at(w, p + 2) == at(w, q + 2))
     clash = lambda s: F.size(F.filter(s, lambda x, i: (high(x) == high(at(s, i + 1))) & ~same(place(x), place(at(s, i + 1))))) > 0
-    packed = F.sort_array(windows(lambda i: F.call_function("shiftleft", _hash(at(w, i), at(w, i + 1), at(w, i + 2)), bits).bitwiseOR(i.cast("long"))))
+    packed = bound(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.sort_array(windows(lambda i: F.call_function("shiftleft", _hash(at(h, i), at(h, i + 1), at(h, i + 2)), bits).bitwiseOR(i.cast("long")))))
     by_hash = bound(bound(packed, lambda s: beside(s, high)), lambda s: F.when(~clash(s), F.transform(s, place)))
     named = F.sort_array(windows(lambda i: F.struct(F.concat_ws(" ", at(w, i), at(w, i + 1), at(w, i + 2)).alias("s"), i.alias("p"))))
     by_words = bound(named, lambda s: F.transform(beside(s, lambda x: x["s"]), lambda x: x["p"]))

@@ -173,8 +173,9 @@ SIMILAR = 0.8
 #: shingles: 61 to 84 of all bits differ on average, 113 at most; what is nearer is decided by SIMILAR.
 FIRST_BITS, ALL_BITS = 22, 112
 #: Rows under one key beyond which they meet in pairs of chunks; of so many rows or fewer under a key every pair is a candidate
-#: at once, in larger ones each row is first linked to the NEAREST few, and then to all that these links left apart.
-LARGE_BUCKET, SMALL_BUCKET, NEAREST = 20_000, 32, 4
+#: at once; in larger ones each row is first linked to the NEAREST few, under the keys of its nearest codewords only, and then
+#: to all that these links left apart.
+LARGE_BUCKET, SMALL_BUCKET, NEAREST = 20_000, 6, 2
 _EXPAND = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(WORDS)], dtype=np.uint64)
 
 
@@ -237,15 +238,16 @@ def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _frame(u: list[np.ndarray], v: list[np.ndarray], more: list[int]) -> pd.DataFrame:
     got = pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)}) if u else pd.DataFrame({"u": [], "v": []}, dtype="int64")
     got = pd.DataFrame({"u": got.min(axis=1), "v": got.max(axis=1)}).drop_duplicates().astype("Int64")
-    return pd.concat([got.assign(more=pd.array([None] * len(got), dtype="Int64")), pd.DataFrame({"u": None, "v": None, "more": more}, dtype="Int64")])
+    return pd.concat([got.assign(more=pd.array([None] * len(got), dtype="Int64")), pd.DataFrame({"u": None, "v": None, "more": sorted(set(more))}, dtype="Int64")])
 
 
 def _first_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows in order of key (key, name and the first word's bits): pairs of names under one key within FIRST_BITS.
+    """Of rows in order of key (key, name, the first word's bits, home): pairs of names under one key within FIRST_BITS.
 
-    Under keys of SMALL_BUCKET rows or fewer all pairs.  Under larger ones each name with the NEAREST of those before it and of
-    all; ``more`` names the key if that leaves pairs out.
+    Under keys of SMALL_BUCKET rows or fewer all pairs.  Under larger ones each name that is at home there with the NEAREST of
+    those before it and of all; ``more`` has the names of which that leaves pairs out.
     """
+    said: set[int] = set()  # names that are in ``more`` already
     for x in _buckets(batches):
         key, name, bits = x["key"].to_numpy(), x["name"].to_numpy(), x["bits"].to_numpy().view(np.uint64)
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -259,32 +261,39 @@ def _first_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             v.append(name[near + lag])
         for at, n in zip(new[size > SMALL_BUCKET], size[size > SMALL_BUCKET], strict=True):
             order = at + np.argsort(name[at : at + n])
-            own, names, left_out = bits[order], name[order], False
+            own, names, home = bits[order], name[order], x["home"].to_numpy()[order]
             for a in range(0, n, 256):
                 far = np.bitwise_count(own[a : a + 256, None] ^ own[None, :])
-                i = np.arange(len(far))
+                i, at_home = np.arange(len(far)), home[a : a + 256]
                 far[i, a + i] = 99
                 before = np.where(np.arange(n)[None, :] < (a + i)[:, None], far, np.uint8(99))
                 for d in (far, before):
                     for _ in range(NEAREST):
                         j = d.argmin(axis=1)
-                        ok = d[i, j] <= FIRST_BITS
+                        ok = (d[i, j] <= FIRST_BITS) & at_home
                         u.append(names[a : a + 256][ok])
                         v.append(names[j[ok]])
-                        d[i, j] = 99
-                left_out |= bool((far <= FIRST_BITS).any())
-            if left_out:
-                more.append(int(key[at]))
-        yield _frame(u, v, more)
+                        d[i, j] = np.where(at_home, 99, d[i, j])
+                more += names[a : a + 256][(far <= FIRST_BITS).any(axis=1)].tolist()
+        said = said if len(said) < 500_000 else set()
+        yield _frame(u, v, sorted(set(more) - said))
+        said.update(more)
 
 
 def _other_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows as above with ``root``: all pairs under one key within FIRST_BITS whose roots differ."""
+    """Of rows in order of key (key, name, root, size of the name's set, place of the shingle in it): pairs that may be similar.
+
+    Roots differ, and if this is the first shingle that two sets have in common, what comes after it can still make up SIMILAR.
+    """
     for x in _buckets(batches):
-        for _, rows in x.groupby("key", sort=False):
-            name, root, bits = rows["name"].to_numpy(), rows["root"].to_numpy(), rows["bits"].to_numpy().view(np.uint64)
+        key = x["key"].to_numpy()
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        for low, high in zip(new, np.append(new[1:], len(key)), strict=True):
+            name, root, size, place = (x[c].to_numpy()[low:high] for c in ("name", "root", "size", "place"))
+            rest = size - place
             for a in range(0, len(name), 256):
-                i, j = np.nonzero((np.bitwise_count(bits[a : a + 256, None] ^ bits[None, a:]) <= FIRST_BITS) & (root[a : a + 256, None] != root[None, a:]))
+                most = np.minimum(rest[a : a + 256, None], rest[None, a:])
+                i, j = np.nonzero((root[a : a + 256, None] != root[None, a:]) & (most * (1 + SIMILAR) >= SIMILAR * (size[a : a + 256, None] + size[None, a:])))
                 i, j = i[i < j], j[i < j]
                 if len(i):
                     yield _frame([name[a + i]], [name[a + j]], [])
@@ -306,7 +315,8 @@ def _dealt(prints: DataFrame) -> DataFrame:
             name, bits = b["name"].to_numpy(), fp[:, 0].astype(np.uint64).view(np.int64)
             for p in range(PAIRS):
                 rows, key = pair_keys(fp, range(p, p + 1))
-                yield pd.DataFrame({"key": key, "name": name[rows], "bits": bits[rows]})
+                home = np.arange(len(rows)) < len(fp)  # the nearest codewords of both segments come first
+                yield pd.DataFrame({"key": key, "name": name[rows], "bits": bits[rows], "home": home})
 
     parts = max(1, prints.rdd.getNumPartitions())
     large = max(LARGE_BUCKET, parts)
@@ -322,7 +332,7 @@ def _dealt(prints: DataFrame) -> DataFrame:
             at = np.flatnonzero(total >= often)
             yield pd.DataFrame({"key": at.astype(np.int64) | (p << 24), "c": total[at].astype(np.int64)})
 
-    rows = in_pandas(prints.select("name", "fp"), of, "key long, name long, bits long")
+    rows = in_pandas(prints.select("name", "fp"), of, "key long, name long, bits long, home boolean")
     counts = in_pandas(prints.select("name", "fp"), frequent, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"), F.count("*").alias("in"))
     # Partitions that don't report a key have fewer than ``often`` rows of it each.
     most = F.col("c") + (F.lit(parts) - F.col("in")) * F.lit(often - 1)
@@ -330,7 +340,7 @@ def _dealt(prints: DataFrame) -> DataFrame:
     if not heavy.head(1):
         return rows
     spread = rows.join(heavy, "key", "left").withColumn("c", F.expr("pmod(name, m)")).withColumn("o", F.explode(F.when(F.col("m").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))).where("m IS NULL OR o <> c")
-    return spread.select(F.when(F.col("m").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o"))).alias("key"), "name", "bits")
+    return spread.select(F.when(F.col("m").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o"))).alias("key"), "name", "bits", "home")
 
 
 def _by_key(rows: DataFrame) -> DataFrame:
@@ -338,16 +348,38 @@ def _by_key(rows: DataFrame) -> DataFrame:
 
 
 def candidates(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs u, v of names of long fingerprints (name, fp) that share a key and are near in the first word, and the keys that have more."""
+    """Pairs u, v of names of long fingerprints (name, fp) that share a key and are near in the first word, and the names that have more."""
     got = cut(in_pandas(_by_key(_dealt(prints)), _first_links, "u long, v long, more long"))
-    return got.where("u IS NOT NULL").select("u", "v").distinct(), got.where("more IS NOT NULL").select(F.col("more").alias("key")).distinct()
+    return got.where("u IS NOT NULL").select("u", "v").distinct(), got.where("more IS NOT NULL").select(F.col("more").alias("name")).distinct()
+
+
+def other_candidates(bodies: DataFrame, roots: DataFrame, k: int = 5) -> DataFrame:
+    """Pairs u, v of names (name, body: packed words) whose roots differ and whose sets may have similarity SIMILAR or more.
+
+    For names that have many near ones, of which most are linked already.  Exact: shingles are put in order, rare ones first;
+    two similar sets share one among so many first shingles of either that fewer than SIMILAR of it come after, and from the
+    first one they share on enough must be left of both.
+    """
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, body in zip(b["name"], b["body"], strict=True):
+                yield pd.DataFrame({"key": shingle_set(zlib.decompress(body), k).view(np.int64), "name": name})
 
+    def first(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, n = rows.sort_values(["df", "key"]), len(rows)
+        most = n - int(np.ceil(SIMILAR * n - 1e-9)) + 1
+        return rows.head(most).assign(size=n, place=range(min(n, most)))[["key", "name", "df", "size", "place"]]
 
-def other_candidates(prints: DataFrame, keys: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs as above under ``keys``, all but those with one root."""
-    rows = _dealt(prints).join(keys, "key", "left_semi")
-    rows = rows.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    return in_pandas(_by_key(rows), _other_links, "u long, v long, more long").select("u", "v").distinct()
+    rows = in_pandas(bodies.select("name", "body"), shingled, "key long, name long")
+    often = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    # A shingle that one set alone has joins nothing, but takes its place at the front.
+    prefixes = rows.join(often, "key", "left").select("key", "name", F.coalesce("df", F.lit(1)).cast("long").alias("df")).groupBy("name").applyInPandas(first, "key long, name long, df long, size long, place long").where("df > 1")
+    prefixes = cut(prefixes.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name")))
+    m = F.when(F.col("df") > LARGE_BUCKET, F.ceil(F.col("df") * 2 / LARGE_BUCKET)).otherwise(F.lit(1).cast("long"))
+    spread = prefixes.withColumn("m", m).withColumn("c", F.expr("pmod(name, m)")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).where("m = 1 OR o <> c")
+    spread = spread.withColumn("key", F.when(F.col("m") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o"))))
+    return in_pandas(_by_key(spread.select("key", "name", "root", "size", "place")), _other_links, "u long, v long, more long").select("u", "v").distinct()
 
 
 def close(prints: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -413,19 +445,20 @@ def near_dedup(docs: DataFrame, k: int = 5) -> DataFrame:
     # One row for each name first: a name may belong to a third of all rows.
     prints = cut(rows.groupBy("name").agg(F.min("fp").alias("fp"), F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_t1", "_t2")).alias("x")))
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        pairs = cut(close(prints, pairs))
-        # Texts are fetched for names in a pair only.
-        asked = pairs.select(F.col("u").alias("name")).union(pairs.select("v")).distinct().join(prints, "name").select("name", F.col("x._id").alias("i"), F.col("x._t1").alias("a"), F.col("x._t2").alias("b"))
+    def bodies_of(names: DataFrame) -> DataFrame:
+        asked = names.join(prints, "name").select("name", F.col("x._id").alias("i"), F.col("x._t1").alias("a"), F.col("x._t2").alias("b"))
         found = named.select("_id", "_t1", "_t2", "text").join(asked, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_t1") == F.col("a")) & (F.col("_t2") == F.col("b")))
-        bodies = cut(in_pandas(found.select("name", "text"), packed, "name long, body binary").dropDuplicates(["name"]))
-        return cut(similar(pairs, bodies, k))
+        return cut(in_pandas(found.select("name", "text"), packed, "name long, body binary").dropDuplicates(["name"]))
 
     pairs, crowded = candidates(prints)
-    links = links_of(pairs)
+    pairs = cut(close(prints, pairs))
+    # Texts are fetched for names in a pair only.
+    bodies = bodies_of(pairs.select(F.col("u").alias("name")).union(pairs.select("v")).distinct())
+    links = cut(similar(pairs, bodies, k))
     roots = components(links)
+    crowded = cut(bodies.join(crowded, "name", "left_semi"))
     if crowded.head(1):  # what the nearest few left apart
-        links = links.union(links_of(other_candidates(prints, crowded, roots)))
+        links = links.union(cut(similar(other_candidates(crowded, roots, k), crowded, k)))
         roots = components(links)
     stays = prints.join(roots, prints["name"] == roots["node"], "left").groupBy(F.coalesce("root", "name").alias("root")).agg(F.min("x").alias("x"))
     stays = stays.select(F.col("x._id").alias("i"), F.col("x._t1").alias("a"), F.col("x._t2").alias("b"))
