@@ -175,7 +175,7 @@ FIRST_BITS, ALL_BITS = 22, 112
 #: Rows under one key beyond which they meet in pairs of chunks; of so many rows or fewer under a key every pair is a candidate
 #: at once; in larger ones each row is first linked to the NEAREST few, under the keys of its nearest codewords only, and then
 #: to all that these links left apart.
-LARGE_BUCKET, SMALL_BUCKET, NEAREST = 20_000, 6, 2
+LARGE_BUCKET, SMALL_BUCKET, NEAREST = 20_000, 2, 2
 _EXPAND = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(WORDS)], dtype=np.uint64)
 
 
@@ -452,8 +452,9 @@ def near_dedup(docs: DataFrame, k: int = 5) -> DataFrame:
 
     pairs, crowded = candidates(prints)
     pairs = cut(close(prints, pairs))
-    # Texts are fetched for names in a pair only.
-    bodies = bodies_of(pairs.select(F.col("u").alias("name")).union(pairs.select("v")).distinct())
+    crowded = cut(crowded)
+    # Texts are fetched for names in a pair, and for those that may have more, only.
+    bodies = bodies_of(pairs.select(F.col("u").alias("name")).union(pairs.select("v")).union(crowded).distinct())
     links = cut(similar(pairs, bodies, k))
     roots = components(links)
     crowded = cut(bodies.join(crowded, "name", "left_semi"))
