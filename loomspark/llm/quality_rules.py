@@ -52,7 +52,7 @@ def _dup_lines(w: Column) -> Column:
 
 
 def _letters(w: Column) -> Column:
-    return F.coalesce(F.regexp_count("text", F.lit(r"\p{L}")), F.lit(0)).cast("long")
+    return F.coalesce(F.char_length(F.regexp_replace("text", r"\P{L}+", "")), F.lit(0)).cast("long")
 
 
 def _lines_like(pattern: str) -> Callable[[Column], Column]:
@@ -159,10 +159,10 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
     return sorted(((rule, got, max(took - nothing, 1e-4)) for rule, got, took in costed), key=lambda x: -x[1] / x[2])
 
 
-def verdict(rules: list[Rule], ready: Mapping[str, Column] | None = None) -> Column:
+def verdict(rules: list[Rule], ready: Mapping[str, Column] | None = None, w: Column | None = None) -> Column:
     """Name of the first rule that fails, in the order given, or null; a later rule isn't evaluated.
 
-    ``ready``: features that are there already; each rule computes what else it needs.
+    ``ready``: features that are there already; each rule computes what else it needs.  ``w``: the words, if they are there.
     """
 
     def chain(w: Column) -> Column:
@@ -171,7 +171,7 @@ def verdict(rules: list[Rule], ready: Mapping[str, Column] | None = None) -> Col
             out = out.when(rule.fails(f), F.lit(rule.name))
         return out if rules else F.lit(None).cast("string")
 
-    return bound(words(F.col("text")), chain)
+    return bound(words(F.col("text")), chain) if w is None else chain(w)
 
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -191,10 +191,10 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     ordered = [r for r, _, _ in order_rules(docs, tuple(r for r in rules if r not in BASE), ready=MEASURED)]
     rows = split_words(docs.select("doc_id", "text"))
-    rows = rows.select("doc_id", "text", *(FEATURES[k](F.col("_words")).alias(k) for k in MEASURED))
+    rows = rows.select("doc_id", "text", "_words", *(FEATURES[k](F.col("_words")).alias(k) for k in MEASURED))
     f = {k: F.col(k) for k in MEASURED}
     base = F.lit(False)
     for rule in BASE:
         base = base | rule.fails(f)
     rows = rows.withColumn("base_failed", base)
-    return rows.select("doc_id", *MEASURED, "base_failed", F.when(F.col("base_failed"), False).otherwise(verdict(ordered, f).isNull()).alias("kept"))
+    return rows.select("doc_id", *MEASURED, "base_failed", F.when(F.col("base_failed"), False).otherwise(verdict(ordered, f, F.col("_words")).isNull()).alias("kept"))
