@@ -96,7 +96,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = SCALE,
 
     Rows without id or vector, with an empty vector, or with a null or non-finite component take no part.  Vectors of other
     lengths than the query's are no candidates.  Rows that repeat an id are candidates each, but never for that id; of
-    repeated queries one counts.  Fewer than k candidates: all of them.  No rows: no rows out.
+    repeated queries the shortest vector counts, and of those the one that sorts first.  Fewer than k candidates: all of them.
+    Scores are exact while sums of products fit 64 bits.  No rows: no rows out.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -114,7 +115,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = SCALE,
         return pd.DataFrame({"query_id": ids[at], "kth": np.array(kth, dtype=np.int64), "v": pd.Series([*v[at]], dtype=object), "dim": np.full(len(at), v.shape[1], dtype=np.int32)})
 
     queries = rows.groupBy("shard", "dim").applyInPandas(own_shard, "query_id long, kth long, v array<long>, dim int")
-    queries = cut(queries.dropDuplicates(["query_id", "dim"]))
+    queries = cut(queries.groupBy("query_id").agg(F.min(F.struct("dim", "v", "kth")).alias("x")).select("query_id", "x.*"))
     n_blocks = max(1, -(-queries.count() // block_queries))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
     held = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
