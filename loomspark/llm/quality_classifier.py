@@ -36,6 +36,8 @@ LEAST_DOCS, LEAST_SHARE, LEAST_WEIGHT, LEAST_Z = 6, 0.01, 3.0, 6.0
 MOST_WORDS = 20_000
 #: A site pulls no document further than this, in log odds from the global rate.
 MOST_PULL = 2.0
+#: Bytes of all sites up to which they are broadcast; more are joined by shuffles.
+SITE_BYTES = 32 << 20
 #: Strength of a prior, in documents, within these bounds.
 WEAKEST, STRONGEST = 1.0, 1e6
 
@@ -148,7 +150,10 @@ def _strength(sites: DataFrame, rate: str) -> DataFrame:
 
 
 def site_odds(scored: DataFrame) -> DataFrame:
-    """_host, _path and pull: by how much the posterior rate of the path moves the log odds off the global rate."""
+    """_host, _path and pull: by how much the posterior rate of the path moves the log odds off the global rate.
+
+    Marked for broadcast if all sites take SITE_BYTES or less, so that texts needn't be shuffled to meet them.
+    """
     paths = cut(scored.groupBy("_host", "_path").agg(F.sum(_bad()).alias("bad"), F.count("*").alias("n")))
     hosts = paths.groupBy("_host").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     all_bad, all_n = hosts.agg(F.sum("bad"), F.sum("n")).first()
@@ -160,7 +165,9 @@ def site_odds(scored: DataFrame) -> DataFrame:
     post = (F.col("bad") + F.col("rate") * path_strength) / (F.col("n") + path_strength)
     logit = lambda p: F.ln(F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6)) / (1 - F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))))
     pull = F.least(F.greatest(logit(post) - logit(F.lit(rate)), F.lit(-MOST_PULL)), F.lit(MOST_PULL))
-    return paths.select("_host", "_path", pull.alias("pull"))
+    out = paths.select("_host", "_path", pull.alias("pull"))
+    size = paths.agg(F.sum(F.octet_length("_host") + F.octet_length("_path") + 64)).first()[0] or 0
+    return F.broadcast(out) if size <= SITE_BYTES else out
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keep: list[str] | None = None, sample: int = SAMPLE_LABELS) -> DataFrame:

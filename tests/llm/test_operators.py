@@ -1,8 +1,10 @@
 """Each operator against a plain version, on the edge cases of ``fixtures``."""
 
 import hashlib
+import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -81,12 +83,13 @@ def test_top_k(spark):
     rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(r.normal(size=(700, 8)))]
     rows += [(700 + i, rows[5][1]) for i in range(30)]  # ties
     rows += [(800, None), (900, [1.0, None] * 4), (1000, [float("nan")] * 8), (1100, [float("inf")] * 8), (1200, []), (1300, [0.5] * 3), (1400, [0.25] * 3), (None, [1.0] * 8), (100, rows[100][1])]
+    rows += [(200, rows[7][1]), (300, [-0.5] * 3), (400, [9.0] * 9)]  # other vectors under a query's id
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS score", "2 AS dim", "3 AS shard")
     got = topk.top_k(d, k=10, every=100, shard_rows=97, block_queries=3).collect()
     f = [(i, np.floor(1024 * np.array(v, dtype=np.float32).astype(float)).astype(np.int64)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for q in {i for i, _ in f if i % 100 == 0}:
-        v = next(x for i, x in f if i == q)
+        v = min((x for i, x in f if i == q), key=lambda x: (len(x), list(x)))
         best = sorted((-int(x @ v), i) for i, x in f if i != q and len(x) == len(v))[:10]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert key((x.query_id, x.rank, x.vec_id, x.score) for x in got) == key(want)
@@ -230,6 +233,76 @@ def test_classifier(spark):
     assert quality_classifier.apply_classifier(empty(spark), labels).count() == 0
 
 
+def plain_scores(rows, labels):
+    """Share of being good of each row (doc_id, text, lang, source), by the definitions, row after row."""
+    c = quality_classifier
+    worst = {}
+    for i, quality, toxic in labels:
+        if None not in (i, quality, toxic):
+            worst[i] = tuple(map(max, worst.get(i, (0, 0)), (int(quality <= 0), int(toxic > 0))))
+    learnt = [(c.features(t), worst[i]) for i, t, _, _ in rows if i in worst]
+    odds = []
+    for kind in (0, 1):
+        bad, n = sum(x[kind] for _, x in learnt), len(learnt)
+        weights, prior = {}, -math.inf
+        if 0 < bad < n:
+            prior = math.log(bad / (n - bad))
+            of, all_of = Counter(w for f, x in learnt for w in f if x[kind]), Counter(w for f, _ in learnt for w in f)
+            for w in all_of:
+                p, q, both = (of[w] + 0.5) / (bad + 1), (all_of[w] - of[w] + 0.5) / (n - bad + 1), (all_of[w] + 1) / (n + 2)
+                z = (p - q) / math.sqrt(both * (1 - both) * (1 / bad + 1 / (n - bad)))
+                if all_of[w] >= c.LEAST_DOCS and z >= c.LEAST_Z and math.log(p / q) >= c.LEAST_WEIGHT and p >= c.LEAST_SHARE:
+                    weights[w] = math.log(p / q)
+        odds.append([prior + sum(weights.get(w, 0) for w in c.features(t)) for _, t, _, _ in rows])
+
+    def bad_share(x, y, pull=0.0):
+        good = [1 / (1 + math.exp(max(-30, min(30, o + pull)))) for o in (x, y)]
+        return 1 - good[0] * good[1]
+
+    def strength(sites):  # bad, n, rate
+        own = [min(max(r, 1e-6), 1 - 1e-6) * (1 - min(max(r, 1e-6), 1 - 1e-6)) for _, _, r in sites]
+        extra = sum(n * ((b / n - min(max(r, 1e-6), 1 - 1e-6)) ** 2 - o / n) for (b, n, r), o in zip(sites, own, strict=True)) / sum(n for _, n, _ in sites)
+        return min(max(sum(own) / len(own) / max(extra, 1e-9) - 1, c.WEAKEST), c.STRONGEST)
+
+    def logit(p):
+        p = min(max(p, 1e-6), 1 - 1e-6)
+        return math.log(p / (1 - p))
+
+    hosts, paths = {}, {}
+    for (_, _, lang, source), x, y in zip(rows, *odds, strict=True):
+        for sites, site in ((hosts, source or ""), (paths, (source or "", lang or ""))):
+            b, n = sites.get(site, (0, 0))
+            sites[site] = (b + bad_share(x, y), n + 1)
+    rate = sum(b for b, _ in hosts.values()) / len(rows)
+    k = strength([(b, n, rate) for b, n in hosts.values()])
+    rates = {h: (b + rate * k) / (n + k) for h, (b, n) in hosts.items()}
+    k = strength([(b, n, rates[h]) for (h, _), (b, n) in paths.items()])
+    pulls = {(h, p): max(-c.MOST_PULL, min(c.MOST_PULL, logit((b + rates[h] * k) / (n + k)) - logit(rate))) for (h, p), (b, n) in paths.items()}
+    return [(i, 1 - bad_share(x, y, pulls[s or "", g or ""])) for (i, _, g, s), x, y in zip(rows, *odds, strict=True)]
+
+
+@pytest.mark.parametrize("site_bytes", [32 << 20, 0])
+def test_classifier_against_plain(spark, monkeypatch, site_bytes):
+    """Sites of unequal rates, sparse ones, nulls, a very long text and repeated rows; with and without broadcast."""
+    monkeypatch.setattr(quality_classifier, "SITE_BYTES", site_bytes)
+    r = random.Random(3)
+    rows = []
+    for i in range(500):
+        source = f"src{min(r.randrange(9), r.randrange(9))}"
+        poor, toxic = r.random() < 0.05 * int(source[3]), r.random() < 0.1
+        before, after = "Buy " * (poor or r.random() < 0.02), " vile" * toxic  # no three words that two texts share
+        rows.append((i, before + text(40 + i % 60, i) + after, r.choice(["en", "de", None]), source if i % 11 else None, int(not poor), int(toxic)))
+    labels = [(i, quality, toxic) for i, _, _, _, quality, toxic in rows if i % 2] + [(None, 0, 1), (2, None, 1), (3, 0, 0)]
+    plain = [x[:4] for x in rows] + [(600, None, None, None), (601, "", "en", "lonely"), (602, text(60_000, 602) + " vile", "en", "src1"), (None, text(50, 603), "de", "src0"), rows[4][:4], rows[4][:4]]
+    for keep in (["doc_id"], None):
+        got = quality_classifier.classify(docs(spark, plain), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), keep=keep)
+        pairs = key((x[0], x[-1]) for x in got.collect())  # a column of the input may be called like the score
+        want = key(plain_scores(plain, labels))
+        assert [i for i, _ in pairs] == [i for i, _ in want]
+        assert [s for _, s in pairs] == pytest.approx([s for _, s in want], abs=1e-7)
+    assert {s < 0.5 for _, s in want} == {True, False}
+
+
 def test_rules(spark):
     d = docs(spark)
     got = {(r.doc_id, r.n_words): r for r in quality_rules.measure(d).collect()}
@@ -361,6 +434,56 @@ def test_language(spark):
     assert language.identify(empty(spark), language.learn(d)).count() == 0
 
 
+def plain_language(rows):
+    """doc_id, language and share of each row (doc_id, text, lang, source): counts in dictionaries, a byte at a time."""
+
+    def body(t):
+        letters = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in t or "")
+        return "".join(w + " " for w in letters.lower().split()).encode()
+
+    seen = {}
+    for i, t, lang, _ in rows:
+        if None not in (i, t, lang) and zlib.crc32(str(i).encode()) % 5:
+            tree, s = seen.setdefault(lang, {}), b"   " + body(t)
+            for at in range(3, len(s)):
+                for depth in range(4):
+                    tree.setdefault(s[at - depth : at], Counter())[s[at]] += 1
+
+    def bits(tree, t):
+        total, s = 0.0, b"   " + t
+        for at in range(3, len(s)):
+            for depth in (3, 2, 1, 0):
+                follow = tree.get(s[at - depth : at])
+                if follow:
+                    of = follow.total() + len(follow)
+                    total -= math.log2((follow[s[at]] or len(follow)) / of)
+                    if follow[s[at]]:
+                        break
+            else:
+                total += 8
+        return total
+
+    out = []
+    for i, t, _, _ in rows:
+        costs = {x: bits(seen[x], body(t)) for x in sorted(seen)}
+        best = min(costs, key=costs.get)
+        out.append((i, best, 1 / sum(2.0 ** max(costs[best] - b, -1000) for b in costs.values())) if body(t) else (i, "und", 0.0))
+    return out
+
+
+def test_language_against_plain(spark):
+    """Words that languages share, bytes that none has seen, short, very long, null and repeated texts."""
+    words = {"en": "the thing and other house in a on", "fr": "le château être garçon été a on", "de": "der Hund über Straße und in an"}
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(words[x].split()) + r.choice(["", ",", " 12"]) for _ in range(1 + i % 25)), x, "s") for i, x in enumerate(["en", "fr", "de"] * 50)]
+    rows += [(500, None, "en", None), (501, "12 !?", "en", None), (502, "日本 in on", None, None), (503, "a on a", None, None), (504, "in", None, None), (None, "le the der", "en", None)]
+    rows += [(505, " ".join(r.choice([*words["fr"].split(), "the"]) for _ in range(20_000)), None, None), rows[8], rows[8]]
+    d = docs(spark, rows)
+    got, want = key((x.doc_id, x.lang_pred, x.score) for x in language.identify(d, language.learn(d)).collect()), key(plain_language(rows))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-9)
+
+
 def test_code_lengths_follow_the_definition():
     gram, n = np.unique(language.grams([b"abab "])[0], return_counts=True)
     tree = language.ContextTree(gram, n.astype(float))
