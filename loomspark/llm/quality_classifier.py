@@ -182,8 +182,13 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     held = {c: f"_c{i}" for i, c in enumerate(keep)}  # whatever the columns are called
     site = lambda c, name: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
     sited = docs.select(*(F.col(c).alias(x) for c, x in held.items()), "text", site(host, "_host"), site(path, "_path"))
-    pulls = site_odds(evidence(sited, signs, ["_host", "_path"]))
-    scored = evidence(sited, signs, [*held.values(), "_host", "_path"]).join(pulls, ["_host", "_path"])
+    scored = evidence(sited, signs, [*held.values(), "_host", "_path"])
+    if "text" in keep:  # texts are rather scored twice than written
+        pulls = site_odds(evidence(sited, signs, ["_host", "_path"]))
+    else:
+        scored = cut(scored)
+        pulls = site_odds(scored)
+    scored = scored.join(pulls, ["_host", "_path"])
     return scored.select(*(F.col(x).alias(c) for c, x in held.items()), (1 - _bad(F.col("pull"))).alias("_score"))
 
 
