@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import json
+from collections import deque
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 from itertools import permutations
@@ -38,12 +39,12 @@ def capped_round_robin(spark, sf_dir):
     """Records in turn from each source, under a cap by source and a budget of characters by language; misfits are passed over."""
 
     def pick(part: pd.DataFrame, cap: int = 15_000, budget: int = 100_000) -> pd.DataFrame:
-        queues = {s: [*zip(x["doc_id"], x["n_chars"])] for s, x in hash_ordered(part).groupby("source", sort=True)}
+        queues = {s: deque(zip(x["doc_id"], x["n_chars"])) for s, x in hash_ordered(part).groupby("source", sort=True)}
         used, total, out = dict.fromkeys(queues, 0), 0, []
         while any(queues.values()):
             for s, q in queues.items():
                 if q:
-                    doc_id, n = q.pop(0)
+                    doc_id, n = q.popleft()
                     if used[s] + n <= cap and total + n <= budget:
                         used[s], total = used[s] + n, total + n
                         out.append(doc_id)

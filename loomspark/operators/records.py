@@ -259,9 +259,16 @@ def exhaustive(d):
     return """SELECT o.o_orderkey AS anchor FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN customer c ON s.s_nationkey = c.c_nationkey WHERE l.l_orderkey = o.o_orderkey AND c.c_custkey = o.o_custkey)"""
 
 
+def ranked(d, table, key, out):
+    """CTE of a table's keys in hash order: ranks within 4096 ranges of the hash, after the totals of the ranges before."""
+    return f"""{out}_h AS (SELECT {key}, {d.sha(d.s(key))} AS h FROM {table}), {out}_n AS (SELECT substr(h, 1, 3) AS q, count(*) AS n FROM {out}_h GROUP BY substr(h, 1, 3)),
+    {out}_o AS (SELECT q, sum(n) OVER (ORDER BY q) - n AS ahead FROM {out}_n), {out} AS (SELECT {key}, ahead + row_number() OVER (PARTITION BY q ORDER BY h) AS rn FROM {out}_h JOIN {out}_o ON substr(h, 1, 3) = q)"""
+
+
 @plan("J11_slot_zip")
 def slot_zip(d):
-    return f"""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY {d.sha(d.s('doc_id'))}) AS rn FROM documents WHERE lang = 'de'), b AS (SELECT item_id, row_number() OVER (ORDER BY {d.sha(d.s('item_id'))}) AS rn FROM benchmark) SELECT a.doc_id, b.item_id FROM a JOIN b ON a.rn = b.rn"""
+    """Slots are all documents, candidates all items, both in hash order; the shorter list ends the zip."""
+    return f"""WITH {ranked(d, 'documents', 'doc_id', 'a')}, {ranked(d, 'benchmark', 'item_id', 'b')} SELECT a.doc_id, b.item_id FROM a JOIN b ON a.rn = b.rn"""
 
 
 @plan("J12_text_ancestry")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..plans.reads import questions
 from .registry import plan, query
 
@@ -59,15 +60,15 @@ def replace_one_set(d):
 
 
 def merged_families(links: DataFrame) -> DataFrame:
-    """node and its family, the least node it is linked to, by shrinking labels until they rest.  links: u, v."""
-    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().cache()
+    """node and its family, the least node it is linked to, by shrinking labels until they rest; each round is cut off in the shared folder.  links: u, v."""
+    both = cut(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     label = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label"))
     while True:
         seen = both.join(label.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
         new = label.join(seen, "u").select("u", F.least("label", "near").alias("label"))
         # jump: the label of the label
         new = new.join(new.select(F.col("u").alias("label"), F.col("label").alias("next")), "label", "left").select("u", F.coalesce("next", "label").alias("label"))
-        new = new.cache()
+        new = cut(new)
         if not new.join(label.withColumnRenamed("label", "was"), "u").where("label <> was").head(1):
             return new.select(F.col("u").alias("node"), F.col("label").alias("family"))
         label = new
