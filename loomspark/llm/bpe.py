@@ -200,12 +200,24 @@ class Cached(dict):
         return got
 
 
+@lru_cache(maxsize=1)
+def marks() -> tuple[str, ...]:
+    """One mark of each combining class, the first by code point."""
+    found: dict[int, str] = {}
+    for c in map(chr, range(0x300, 0x1F000)):
+        found.setdefault(unicodedata.combining(c), c)
+    return tuple(found[k] for k in sorted(found) if k)
+
+
 class Odd(dict):
-    """Whether a character is new to some table: unassigned here, or sorted or lowered otherwise than the library does."""
+    """Whether a character is new to some table: unassigned here, or sorted or lowered otherwise than the library does.
+
+    Its combining class, too: beside a mark of any class, on either side, the library must put both in the same order.
+    """
 
     def __init__(self):
         super().__init__()
-        self.lower = normalizers.Lowercase()
+        self.lower, self.nfc = normalizers.Lowercase(), normalizers.NFC()
         self.kinds = [(pre_tokenizers.Split(Regex(x), "removed"), regex.compile(x)) for x in (r"\p{L}", r"\p{N}", r"\s")]
 
     def __missing__(self, c: str) -> bool:
@@ -214,6 +226,7 @@ class Odd(dict):
         space = regex.compile(f"[{SPACE}]")
         for (split, own), mine in zip(self.kinds, (None, None, space), strict=True):
             got = got or (not split.pre_tokenize_str(c)) != bool((mine or own).match(c))
+        got = got or any(self.nfc.normalize_str(x) != unicodedata.normalize("NFC", x) for m in marks() for x in (c + m, m + c))
         self[c] = got
         return got
 

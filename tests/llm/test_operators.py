@@ -499,3 +499,13 @@ def test_code_lengths_follow_the_definition():
                 follow[s[i]] += 1
         total += -np.log2(len(follow) / (sum(follow.values()) + len(follow)))
     assert tree.cost(np.array([int.from_bytes(b"abaz", "big")]))[0] == pytest.approx(total + 8)
+
+
+def test_marks_beside_marks():
+    """Ids of the library where tables of combining classes differ: every mark beside marks of two classes, in both orders."""
+    ref, t = Tokenizer.from_file(WORD), bpe.Tokenizer(WORD)
+    marks = [chr(c) for c in range(0x300, 0xE01F0) if unicodedata.category(chr(c))[0] == "M"]
+    texts = ["́\U00010efd", "á߽", *(x for m in marks for x in (f"a{m}́", f"́{m}b", f"̣{m}", f"{m}̣"))]
+    for x, want in zip(texts, ref.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(t.encode(x)[0], dtype="<u4").tolist() == want.ids, ascii(x)
+        assert t.count(x) == len(want.ids), ascii(x)
