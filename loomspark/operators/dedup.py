@@ -1,7 +1,9 @@
-"""Gram joins: overlap with protected sets, near copies, contamination cascade."""
+"""Gram joins: overlap with protected sets, near copies, duplicate groups."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..plans.dialect import DUCK, SPARK, run
+from .protected import bit_table, places, suspects
 from .registry import plan, query
 
 #: Normaliser of benchmark words: lower case, runs of letters, digits and a few marks.
@@ -24,23 +27,44 @@ def grams(d, table, key, n, pattern, out):
     {out} AS (SELECT DISTINCT id, {d.join(d.part('w', 'i', str(n)), ' ')} AS g FROM {out}_i)"""
 
 
-@plan("M14_benchmark_overlap")
-def benchmark_overlap(d):
-    """Documents with any 13-gram, any 8-gram, or more than three 8-grams of a protected item."""
-    return f"""WITH {grams(d, 'documents', 'doc_id', 13, N3, 'd13')}, {grams(d, 'benchmark', 'item_id', 13, N3, 'b13')}, {grams(d, 'documents', 'doc_id', 8, N3, 'd8')}, {grams(d, 'benchmark', 'item_id', 8, N3, 'b8')},
+def meeting(spark, sf_dir: str, pattern: str, n: int, sql: Callable[[str], str]) -> DataFrame:
+    """``sql`` of a table's name, over the documents that may share a run of n words with a protected item.
+
+    The items' runs go out as a bounded table of bits, which is asked inside the row: documents that share none are never taken
+    apart.  What it lets through by mistake the SQL finds without a partner.
+    """
+    texts = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").where("text IS NOT NULL").withColumn("_w", F.regexp_extract_all(F.lower("text"), F.lit(pattern), 0))
+    hashes = texts("benchmark").select(F.explode(F.transform(places(F.col("_w"), n), lambda i: F.xxhash64(F.slice("_w", i, n)))).alias("h"))
+    table = f"meeting_{uuid.uuid4().hex}"
+    suspects(texts("documents"), "_w", n, cut(bit_table(hashes))).drop("_w").createOrReplaceTempView(table)
+    return run(spark, sf_dir, sql(table))
+
+
+def overlap_sql(d, table="documents"):
+    return f"""WITH {grams(d, table, 'doc_id', 13, N3, 'd13')}, {grams(d, 'benchmark', 'item_id', 13, N3, 'b13')}, {grams(d, table, 'doc_id', 8, N3, 'd8')}, {grams(d, 'benchmark', 'item_id', 8, N3, 'b8')},
     h13 AS (SELECT d13.id AS doc_id, count(DISTINCT d13.g) AS n FROM d13 JOIN b13 ON d13.g = b13.g GROUP BY d13.id), h8 AS (SELECT d8.id AS doc_id, count(DISTINCT d8.g) AS n FROM d8 JOIN b8 ON d8.g = b8.g GROUP BY d8.id)
     SELECT h8.doc_id, h8.n AS grams8, coalesce(h13.n, 0) AS grams13, h8.n > 3 AS several8 FROM h8 LEFT JOIN h13 ON h8.doc_id = h13.doc_id"""
 
 
-@plan("J05_best_overlapping_item")
-def best_item(d):
-    """Containment: grams shared with the single best item over the document's own grams."""
-    return f"""WITH {grams(d, 'documents', 'doc_id', 5, N1, 'a')}, {grams(d, 'benchmark', 'item_id', 5, N1, 'b')},
+@query("M14_benchmark_overlap", overlap_sql(DUCK))
+def benchmark_overlap(spark, sf_dir):
+    """Documents with any 13-gram, any 8-gram, or more than three 8-grams of a protected item."""
+    return meeting(spark, sf_dir, N3, 8, lambda table: overlap_sql(SPARK, table))
+
+
+def best_item_sql(d, table="documents"):
+    return f"""WITH {grams(d, table, 'doc_id', 5, N1, 'a')}, {grams(d, 'benchmark', 'item_id', 5, N1, 'b')},
     c AS (SELECT a.id AS doc_id, b.id AS item_id, count(*) AS n FROM a JOIN b ON a.g = b.g GROUP BY a.id, b.id), t AS (SELECT id, count(*) AS own FROM a GROUP BY id),
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, item_id) AS rn FROM c)
     SELECT doc_id, item_id, n, round({d.double('n')} / own, 6) AS containment FROM r JOIN t ON r.doc_id = t.id WHERE rn = 1"""
 
 
+@query("J05_best_overlapping_item", best_item_sql(DUCK))
+def best_item(spark, sf_dir):
+    """Containment: grams shared with the single best item over the document's own grams."""
+    return meeting(spark, sf_dir, N1, 5, lambda table: best_item_sql(SPARK, table))
+
+
 @plan("J06_near_copies")
 def near_copies(d):
     """Pairs at Jaccard above 0.8 on 5-grams, among one text of each group of equal texts."""
@@ -96,18 +120,6 @@ def dedupe(spark, sf_dir):
     return named.join(gone, F.col("keeper") == F.col("id"), "left").select("doc_id", verdict.alias("verdict"))
 
 
-@plan("M13_contamination_cascade")
-def cascade(d):
-    """First hit wins: empty, equal state, 13-word span, near containment (20 words or more); a hit drops the whole family."""
-    return f"""WITH {grams(d, 'documents', 'doc_id', 13, N1, 'd13')}, {grams(d, 'benchmark', 'item_id', 13, N1, 'b13')}, {grams(d, 'documents', 'doc_id', 5, N1, 'd5')}, {grams(d, 'benchmark', 'item_id', 5, N1, 'b5')},
-    st AS (SELECT doc_id, source, {d.join(d.words('lower(text)', N1), ' ')} AS t FROM documents), bt AS (SELECT DISTINCT {d.join(d.words('lower(text)', N1), ' ')} AS t FROM benchmark),
-    t5 AS (SELECT id, count(*) AS n FROM d5 GROUP BY id), u5 AS (SELECT id, count(*) AS n FROM b5 GROUP BY id), c AS (SELECT d5.id AS doc_id, b5.id AS item_id, count(*) AS n FROM d5 JOIN b5 ON d5.g = b5.g GROUP BY d5.id, b5.id),
-    hits AS (SELECT doc_id, 1 AS method FROM st WHERE t = '' UNION ALL SELECT doc_id, 2 FROM st JOIN bt ON st.t = bt.t UNION ALL SELECT DISTINCT d13.id, 3 FROM d13 JOIN b13 ON d13.g = b13.g
-      UNION ALL SELECT DISTINCT c.doc_id, 4 FROM c JOIN t5 ON c.doc_id = t5.id JOIN u5 ON c.item_id = u5.id WHERE 10 * c.n >= 8 * least(t5.n, u5.n) AND t5.n >= 16),
-    f AS (SELECT doc_id, min(method) AS method FROM hits GROUP BY doc_id), bad AS (SELECT DISTINCT source FROM st JOIN f ON st.doc_id = f.doc_id)
-    SELECT st.doc_id, CASE f.method WHEN 1 THEN 'empty' WHEN 2 THEN 'state' WHEN 3 THEN '13_word_span' WHEN 4 THEN 'near' END AS method, bad.source IS NOT NULL AS dropped FROM st LEFT JOIN f ON st.doc_id = f.doc_id LEFT JOIN bad ON st.source = bad.source"""
-
-
 @plan("F15_family_drop")
 def family_drop(d):
     return f"""WITH x AS (SELECT doc_id, source || '/' || lang || '/' || {d.s(d.div('doc_id', '10'))} AS family, {d.like('text', 'password|secret|api_key')} AS hit FROM documents)
@@ -124,9 +136,3 @@ def drop_groups(d):
 def unambiguous(d):
     """First row of each normalised first line that goes with one language only."""
     return f"""WITH x AS (SELECT doc_id, lang, {d.extract('lower(text)', '^([^\\n]*)', 1)} AS u FROM documents), y AS (SELECT u, count(DISTINCT lang) AS k, min(doc_id) AS doc_id FROM x GROUP BY u) SELECT doc_id, u FROM y WHERE k = 1"""
-
-
-@plan("S12_gram_index")
-def gram_index(d):
-    """The scan's index as tables: items under each hashed 5-gram."""
-    return f"""WITH {grams(d, 'benchmark', 'item_id', 5, N1, 'b')} SELECT {d.h8('g')} AS h, count(*) AS items, min(id) AS first_item FROM b GROUP BY {d.h8('g')}"""

@@ -7,8 +7,6 @@ from __future__ import annotations
 
 import io
 import tarfile
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -16,16 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import scratch
 from ..functions.workers import ship
 from ..operators.registry import query
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder; a local one only where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{root}/loomspark-{uuid.uuid4().hex}"
-
-
 def read_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "strict") -> DataFrame:
     """JSON lines, split on LF alone; blank lines are skipped; compression goes by the file's name.
 
