@@ -42,7 +42,7 @@ END = b"\xff"
 ALL = 1 << 8 * (SHORT + 1)
 SLICE_GRAMS = 1 << 22
 SLICE_BYTES = 2 << 20
-HOT_WORDS = 1 << 18
+HOT_WORDS = 1 << 17
 #: A word longer than this is known by its digest, behind a space, which no word holds.
 LONG_WORD = 32
 
@@ -244,7 +244,15 @@ class Model:
         self.words, self.grams = both.where("word IS NOT NULL").select("word", "n"), both.where("gram IS NOT NULL").select("gram", "n")
         r = self.words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
         self.n, self.add, self.of = r["n"], add, r["n"] + add * (r["v"] + 1)
-        self.hot = {bytes(r["word"]): r["n"] for r in self.words.orderBy(F.desc("n"), "word").limit(hot_words).collect()}
+        # the most frequent words, by sixteenths of a power of two: as many whole steps from the top as hot_words allows
+        steps, room, least = self.words.groupBy(self._step().alias("step")).agg(F.count("*").alias("n")).collect(), hot_words, math.inf
+        for r in sorted(steps, reverse=True):
+            room -= r["n"]
+            if room < 0:
+                break
+            least = r["step"]
+        hot = self.words.where(self._step() >= F.lit(float(least))).toPandas()
+        self.hot = dict(zip(hot["word"].map(bytes), hot["n"].tolist(), strict=True))
         self.short = self.grams.groupBy((F.col("gram") % ALL).alias("gram")).agg(F.sum("n").alias("n")).orderBy("gram").toPandas()
         self.cuts, held = [0], 0
         sizes = self.grams.groupBy(self._end().alias("end")).agg(F.count("*").alias("n")).orderBy("end").toPandas()  # at most 2^24
@@ -255,6 +263,10 @@ class Model:
             held += size
         self.cuts.append(ALL)
 
+    @staticmethod
+    def _step() -> Column:
+        return F.floor(16 * F.log2("n"))
+
     @staticmethod
     def _end() -> Column:
         """Last bytes of a gram's context."""
