@@ -4,14 +4,16 @@ Pass k reads the texts once.  The phrases of k-1 words that are frequent go out
 only where both its parts of k-1 words are among them; occurrences are added up in the task first, then by a shuffle.  Each
 level's table of frequent phrases is written to the shared folder; scores and drops are joins of these tables.
 
-What goes out is bounded: up to SET_PHRASES phrases of SET_BYTES together as a set, beyond that a Bloom filter of FILTER_BITS.
-Phrases that the filter lets through by mistake are counted and then found to be infrequent, so the result is the same.
+What goes out is bounded: up to SET_PHRASES phrases of SET_BYTES together as a set, beyond that a Bloom filter of PHRASE_BITS a
+phrase, FILTER_BITS at most.  Phrases that the filter lets through by mistake are counted and then found to be infrequent, so
+the result is the same.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, in_arrow
 
-SET_PHRASES = 1 << 20
-SET_BYTES = 1 << 26
-FILTER_BITS = 1 << 29
+SET_PHRASES = 1 << 17
+SET_BYTES = 1 << 23
+PHRASE_BITS = 16
+FILTER_BITS = 1 << 28
 FILTER_HASHES = 3
 #: So many different phrases are added up before a task hands them on.
 HELD = 1 << 18
@@ -44,53 +47,62 @@ def phrases(found: list[bytes], k: int, frequent) -> list[bytes]:
     if k == 1:
         return [w for w in found if w != b"."]
     part = found if k == 2 else [b" ".join(x) for x in zip(*(found[i:] for i in range(k - 1)))]
-    good = [*map(frequent.__contains__, part)]
+    good = frequent.has(part)
     return [part[i] + b" " + found[i + k - 1] for i in range(len(part) - 1) if good[i] and good[i + 1]]
 
 
 class Bloom:
     """Membership of (lang, phrase) in a table of bits; one that was put in is never missed."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    def __init__(self, bits: np.ndarray, seed: int = 42):
+        self.bits, self.seed = bits, seed
 
     def of(self, lang: str) -> Bloom:
-        out = Bloom(self.bits)
-        out.salt = lang.encode() + b"\0"
-        return out
+        return Bloom(self.bits, xxhash.xxh64_intdigest(lang.encode(), 42))
 
-    def __contains__(self, phrase: bytes) -> bool:
-        h = xxhash.xxh64_intdigest(self.salt + phrase, 42)
-        size = 64 * len(self.bits)
-        return all(self.bits[(p := (h >> 17 * i) % size) >> 6] >> np.uint64(p & 63) & np.uint64(1) for i in range(FILTER_HASHES))
+    def has(self, phrases_: list[bytes]) -> list[bool]:
+        h = np.fromiter(map(xxhash.xxh64_intdigest, phrases_, repeat(self.seed)), np.uint64, len(phrases_))
+        out = np.ones(len(h), dtype=bool)
+        for i in range(FILTER_HASHES):
+            p = h >> np.uint64(17 * i) & np.uint64(64 * len(self.bits) - 1)
+            out &= (self.bits[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out.tolist()
 
 
 class Phrases:
     """The same as sets."""
 
-    def __init__(self, rows: list):
+    def __init__(self, langs: list[str], phrases_: list[bytes]):
         self.sets = defaultdict(set)
-        for r in rows:
-            self.sets[r["lang"]].add(bytes(r["phrase"]))
+        for lang, p in zip(langs, phrases_, strict=True):
+            self.sets[lang].add(bytes(p))
+
+    def of(self, lang: str) -> Phrases:
+        out = Phrases([], [])
+        out.own = self.sets.get(lang, set())
+        return out
 
-    def of(self, lang: str) -> set[bytes]:
-        return self.sets.get(lang, set())
+    def has(self, phrases_: list[bytes]) -> list[bool]:
+        return [*map(self.own.__contains__, phrases_)]
 
 
-def bloom(frequent: DataFrame) -> Bloom:
+def bloom(frequent: DataFrame, n: int) -> Bloom:
     """Bits are put together in the cluster, by words of 64; at most FILTER_BITS / 64 words come to the driver."""
-    h = F.xxhash64(F.concat(F.encode("lang", "utf-8"), F.lit(b"\0"), "phrase"))
-    place = F.explode(F.array(*(F.shiftrightunsigned(h, 17 * i).bitwiseAND(F.lit(FILTER_BITS - 1)) for i in range(FILTER_HASHES)))).alias("p")
+    size = min(FILTER_BITS, 1 << max(12, (PHRASE_BITS * n).bit_length()))
+    h = F.xxhash64("lang", "phrase")  # the hash of lang is the seed for the phrase
+    place = F.explode(F.array(*(F.shiftrightunsigned(h, 17 * i).bitwiseAND(F.lit(size - 1)) for i in range(FILTER_HASHES)))).alias("p")
     rows = frequent.select(place).groupBy(F.shiftright("p", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("bits")).toPandas()
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    bits = np.zeros(size // 64, dtype=np.uint64)
     bits[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     return Bloom(bits)
 
 
 def sent(frequent: DataFrame, most: int, most_bytes: int) -> Broadcast:
     size = frequent.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("bytes")).first()
-    small = size["n"] <= most and size["bytes"] <= most_bytes
-    return frequent.sparkSession.sparkContext.broadcast(Phrases(frequent.select("lang", "phrase").collect()) if small else bloom(frequent))
+    if size["n"] > most or size["bytes"] > most_bytes:
+        return frequent.sparkSession.sparkContext.broadcast(bloom(frequent, size["n"]))
+    rows = frequent.select("lang", "phrase").toPandas()
+    return frequent.sparkSession.sparkContext.broadcast(Phrases(rows["lang"].tolist(), rows["phrase"].tolist()))
 
 
 def counted(docs: DataFrame, k: int, frequent: Broadcast | None) -> DataFrame:
