@@ -275,24 +275,6 @@ def calibrated_softmax(d):
     e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY id, qid)) AS x FROM t) SELECT id, qid, k, round(x / sum(x) OVER (PARTITION BY id, qid), 6) AS p FROM e"""
 
 
-@plan("M05_temperature_grid")
-def temperature_grid(d):
-    """Least mean loss on a grid of 201 temperatures from 0.05 to 20, equal steps of the logarithm; ties to the lower.  Over all records; the 60 golden-section steps after the grid are not there."""
-    return f"""WITH {reads(d)}, g AS (SELECT i, exp(ln(0.05) + i * (ln(20.0) - ln(0.05)) / 200) AS t FROM (SELECT {d.each(d.seq('0', '200'))} AS i) a),
-    smp AS (SELECT * FROM rk WHERE rep = 0), e AS (SELECT s.type, s.id, s.qid, g.i, max(g.t) AS t, sum(exp(ln(p) / g.t)) AS z, max(CASE WHEN k = label THEN ln(p) / g.t END) AS l FROM smp s CROSS JOIN g GROUP BY s.type, s.id, s.qid, g.i),
-    m AS (SELECT type, i, max(t) AS t, avg(ln(z) - l) AS loss FROM e GROUP BY type, i), b AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY round(loss, 9), i) AS rn FROM m)
-    SELECT type, round(t, 6) AS temperature, round(loss, 6) AS loss FROM b WHERE rn = 1"""
-
-
-@plan("A38_M06_calibration_effect")
-def calibration_effect(d):
-    """ECE before and after a temperature; the picks, and so accuracy, must not change."""
-    return f"""WITH {reads(d)}, e AS (SELECT *, exp(ln(p) / 0.7) AS x FROM rk), c AS (SELECT id, qid, rep, label, max(p) AS before_p, max(x) / sum(x) AS after_p, max_by(k, p) AS pick0, max_by(k, x) AS pick1 FROM e GROUP BY id, qid, rep, label),
-    u AS (SELECT 'before' AS at_time, before_p AS conf, pick0 AS pick, label FROM c UNION ALL SELECT 'after', after_p, pick1, label FROM c),
-    b AS (SELECT at_time, least(9, {d.int(d.half_even('100 * conf') + ' / 10')}) AS bin, count(*) AS n, sum(CASE WHEN pick = label THEN 1 ELSE 0 END) AS hits, abs(avg(conf) - avg(CASE WHEN pick = label THEN 1e0 ELSE 0e0 END)) AS gap FROM u GROUP BY at_time, least(9, {d.int(d.half_even('100 * conf') + ' / 10')}))
-    SELECT at_time, round(sum(n * gap) / sum(n), 6) AS ece, sum(hits) AS hits FROM b GROUP BY at_time"""
-
-
 @plan("M07_answer_shape")
 def answer_shape(d):
     return f"""WITH {reads(d)} SELECT id, qid, type, CASE type WHEN 'choice' THEN 'option_' || {d.s('pick')} WHEN 'noul' THEN CASE WHEN pick = 1 THEN 'true' ELSE 'false' END ELSE {d.s('pick')} END AS answer,
