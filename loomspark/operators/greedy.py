@@ -153,24 +153,6 @@ def tie_bands(spark, sf_dir):
     return by_group(means, "one", bands, "source string, score double, band int")
 
 
-@query("T07_batch_packing")
-def batches(spark, sf_dir):
-    """Batches by length under 16 rows, 60,000 padded characters and a quarter of waste, for each source."""
-
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["n_chars", "doc_id"])
-        out, rows, used, batch = [], 0, 0, 0
-        for n in part["n_chars"]:
-            padded = (rows + 1) * n
-            if rows and (rows >= 16 or padded > 60_000 or padded - used - n > padded / 4):
-                batch, rows, used = batch + 1, 0, 0
-            rows, used = rows + 1, used + n
-            out.append(batch)
-        return pd.DataFrame({"source": part["source"], "doc_id": part["doc_id"], "batch": out})
-
-    return by_group(docs(spark, sf_dir).select("doc_id", "source", "n_chars"), "source", pack, "source string, doc_id long, batch int")
-
-
 def leaves(value: object, path: str = "") -> Iterator[tuple[str, str]]:
     if isinstance(value, dict):
         for k, v in value.items():
