@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import ast
 import json
-from collections import deque
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 from itertools import permutations
@@ -30,49 +29,6 @@ def docs(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "n_chars", "text")
 
 
-def hash_ordered(part: pd.DataFrame) -> pd.DataFrame:
-    return part.sort_values(["h", "doc_id"])
-
-
-@query("W07_capped_round_robin")
-def capped_round_robin(spark, sf_dir):
-    """Records in turn from each source, under a cap by source and a budget of characters by language; misfits are passed over."""
-
-    def pick(part: pd.DataFrame, cap: int = 15_000, budget: int = 100_000) -> pd.DataFrame:
-        queues = {s: deque(zip(x["doc_id"], x["n_chars"])) for s, x in hash_ordered(part).groupby("source", sort=True)}
-        used, total, out = dict.fromkeys(queues, 0), 0, []
-        while any(queues.values()):
-            for s, q in queues.items():
-                if q:
-                    doc_id, n = q.popleft()
-                    if used[s] + n <= cap and total + n <= budget:
-                        used[s], total = used[s] + n, total + n
-                        out.append(doc_id)
-        return pd.DataFrame({"lang": part["lang"].iloc[0], "doc_id": out, "place": range(len(out))})
-
-    return by_group(docs(spark, sf_dir).select("doc_id", "lang", "source", "n_chars", F.sha2(F.concat(F.lit("w7:"), F.col("doc_id")), 256).alias("h")), "lang", pick, "lang string, doc_id long, place int")
-
-
-@query("W08_whole_family_quota")
-def family_quota(spark, sf_dir):
-    """Whole families while they fit the quota, then part of one; at most ten rows of a family."""
-
-    def pick(part: pd.DataFrame, quota: int = 60, most: int = 10) -> pd.DataFrame:
-        out: list[int] = []
-        rest: list[list[int]] = []
-        for _, x in hash_ordered(part).groupby("source", sort=True):
-            ids = [*x["doc_id"][:most]]
-            if len(out) + len(ids) <= quota:
-                out += ids
-            else:
-                rest.append(ids)
-        for ids in rest:
-            out += ids[: quota - len(out)]
-        return pd.DataFrame({"lang": part["lang"].iloc[0], "doc_id": out})
-
-    return by_group(docs(spark, sf_dir).select("doc_id", "lang", "source", F.sha2(F.concat(F.lit("w8:"), F.col("doc_id")), 256).alias("h")), "lang", pick, "lang string, doc_id long")
-
-
 @query("W18_hold_out_families")
 def hold_out(spark, sf_dir):
     """Families held out one by one while every language keeps rows in the remainder; works on counts by family and language."""

@@ -36,6 +36,6 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return keep
 
 
-from . import batching, calibrate, dedup, greedy, metrics, protected, records, selection, sets  # noqa: E402, F401  they register their plans
+from . import batching, calibrate, capped, dedup, greedy, metrics, protected, records, selection, sets  # noqa: E402, F401  they register their plans
 from ..sources import files  # noqa: E402, F401
 from ..streaming import events  # noqa: E402, F401
