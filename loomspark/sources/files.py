@@ -1,21 +1,14 @@
-"""File sources and sinks: JSON lines (strict, tolerant, compressed), CSV, JSON arrays, archives, XML, and atomic writes.
+"""File sources and sinks: JSON lines (strict, tolerant, compressed), CSV, JSON arrays, XML.
 
 Each query writes a table in the format to the cluster's shared folder and returns what the reader makes of it.
 """
 
 from __future__ import annotations
 
-import io
-import tarfile
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import scratch
-from ..functions.workers import ship
 from ..operators.registry import query
 
 
@@ -36,34 +29,6 @@ def write_jsonl(df: DataFrame, path: str, compression: str = "none") -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.option("compression", compression).text(path)
 
 
-def read_archive(spark: SparkSession, path: str, suffix: str = ".jsonl") -> DataFrame:
-    """Lines of the members of tar and zip files, with member name and line number, members by name.
-
-    One archive is one task's work, so it must fit an executor.
-    """
-
-    def members(name: str, content: bytes) -> Iterator[tuple[str, bytes]]:
-        if name.endswith(".zip"):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                for m in sorted(z.namelist()):
-                    yield m, z.read(m)
-        else:
-            with tarfile.open(fileobj=io.BytesIO(content)) as t:
-                for m in sorted((m for m in t.getmembers() if m.isfile()), key=lambda m: m.name):
-                    yield m.name, t.extractfile(m).read()
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, content in zip(b["path"], b["content"], strict=True):
-                for member, body in members(name, content):
-                    if member.endswith(suffix):
-                        lines = [x for x in body.decode("utf-8").split("\n") if x.strip()]
-                        yield pd.DataFrame({"member": member, "line": range(len(lines)), "value": lines})
-
-    ship(spark)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(of, "member string, line long, value string")
-
-
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
 

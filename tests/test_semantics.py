@@ -1,10 +1,7 @@
 """Small cases of semantics that are easy to get wrong."""
 
 import gzip
-import io
 import json
-import tarfile
-import zipfile
 from fractions import Fraction
 
 import pytest
@@ -26,19 +23,6 @@ def test_tolerant_and_strict_reads(spark, tmp_path):
     assert files.read_jsonl(spark, str(tmp_path), "t string").where("_corrupt is not null").count() == 1
 
 
-def test_archives_in_member_order(spark, tmp_path):
-    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
-        z.writestr("b.jsonl", "3\n4\n")
-        z.writestr("a.jsonl", "1\n\n2\n")
-        z.writestr("skip.txt", "9\n")
-    with tarfile.open(tmp_path / "b.tar", "w") as t:
-        info = tarfile.TarInfo("c.jsonl")
-        info.size = 2
-        t.addfile(info, io.BytesIO(b"5\n"))
-    rows = files.read_archive(spark, str(tmp_path)).orderBy("member", "line").collect()
-    assert [r.value for r in rows] == ["1", "2", "3", "4", "5"]
-
-
 def test_exact_arithmetic():
     assert greedy.value_of("(1 + 2) / -6") == Fraction(-1, 2)
     with pytest.raises(ValueError):
