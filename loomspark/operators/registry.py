@@ -37,5 +37,5 @@ def query(name: str, oracle: str | None = None) -> Callable:
 
 
 from . import batching, calibrate, capped, dedup, greedy, metrics, protected, records, selection, sets  # noqa: E402, F401  they register their plans
-from ..sources import archive, files  # noqa: E402, F401
+from ..sources import archive, files, ledger  # noqa: E402, F401
 from ..streaming import events  # noqa: E402, F401

@@ -53,12 +53,6 @@ def lineage_caps(d):
     return """WITH alias AS (SELECT 'src1' AS source, 'src0' AS root UNION ALL SELECT 'src2', 'src0'), x AS (SELECT coalesce(alias.root, a.source) AS root, n_chars FROM documents a LEFT JOIN alias ON a.source = alias.source) SELECT root, count(*) AS n, count(*) <= 200 AS within_cap FROM x GROUP BY root"""
 
 
-@plan("S15_replace_one_set")
-def replace_one_set(d):
-    """Idempotent write: rows of the set go before its new rows come."""
-    return "SELECT doc_id AS id, lang AS pool FROM documents WHERE lang <> 'de' UNION ALL SELECT item_id, 'de' FROM benchmark"
-
-
 def merged_families(links: DataFrame) -> DataFrame:
     """node and its family, the least node it is linked to, by shrinking labels until they rest; each round is cut off in the shared folder.  links: u, v."""
     both = cut(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
