@@ -1,4 +1,4 @@
-"""Sequential selections, trees, graphs and exact arithmetic: what plain expressions can't say.
+"""Sequential selections and trees: what plain expressions can't say.
 
 The greedy selectors depend on every choice before, so one group is one task's work.  They run over groups (a source, a language)
 that fit a task, or over summaries of bounded size; rows go in hash order where a source would draw at random.
@@ -6,11 +6,8 @@ that fit a task, or over summaries of bounded size; rows go in hash order where
 
 from __future__ import annotations
 
-import ast
 import json
 from collections.abc import Callable, Iterator
-from fractions import Fraction
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -161,58 +158,3 @@ def length_window(spark, sf_dir):
 def sections(spark, sf_dir):
     report = F.concat(F.lit("## Name\n"), "text", F.lit("\n## Rest\nend"))
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.regexp_extract(report, r"(?ms)^## Name\n(.*?)(?=^## |\z)", 1).alias("body"))
-
-
-def value_of(expression: str) -> Fraction:
-    """Exact value of + - * / over whole numbers; anything else is refused."""
-    ops = {ast.Add: Fraction.__add__, ast.Sub: Fraction.__sub__, ast.Mult: Fraction.__mul__, ast.Div: Fraction.__truediv__}
-
-    def go(n: ast.AST) -> Fraction:
-        if isinstance(n, ast.BinOp) and type(n.op) in ops:
-            return ops[type(n.op)](go(n.left), go(n.right))
-        if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.USub):
-            return -go(n.operand)
-        if isinstance(n, ast.Constant) and type(n.value) is int:
-            return Fraction(n.value)
-        raise ValueError("not allowed")
-
-    return go(ast.parse(expression, mode="eval").body)
-
-
-@query("N_exact_arithmetic")
-def arithmetic(spark, sf_dir):
-    """Fractions as text; what can't be computed is null."""
-
-    def of(batches_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches_:
-            out = []
-            for e in b["e"]:
-                try:
-                    out.append(str(value_of(e)))
-                except (ValueError, ZeroDivisionError, SyntaxError):
-                    out.append(None)
-            yield b.assign(value=out)
-
-    ship(spark)
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return parts.select("p_partkey", F.format_string("(%d + %d) / (%d - 7)", "p_partkey", "p_size", "p_size").alias("e")).mapInPandas(of, "p_partkey long, e string, value string")
-
-
-def skeleton(n: int, edges: list[tuple[int, int]]) -> int:
-    """Least bit mask of an undirected graph over all orders of its nodes; n is at most six."""
-    at = {(a, b): i for i, (a, b) in enumerate((a, b) for a in range(n) for b in range(a + 1, n))}
-    return min(sum(1 << at[min(p[a], p[b]), max(p[a], p[b])] for a, b in edges) for p in permutations(range(n)))
-
-
-@query("N_canonical_graph")
-def graphs(spark, sf_dir):
-    """One graph over five nodes for each part; isomorphic ones share a family."""
-    pairs = [(a, b) for a in range(5) for b in range(a + 1, 5)]
-
-    def of(batches_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, int] = {}
-        for b in batches_:
-            yield pd.DataFrame({"p_partkey": b["p_partkey"], "family": [known.setdefault(int(m), skeleton(5, [p for i, p in enumerate(pairs) if m >> i & 1])) if int(m) not in known else known[int(m)] for m in b["mask"]]})
-
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_partkey") % 1024).alias("mask")).mapInPandas(of, "p_partkey long, family long")

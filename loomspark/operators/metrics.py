@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..plans.reads import reads
+from ..plans.reads import draws, reads
 from .registry import plan
 
 
@@ -111,12 +111,17 @@ def score_mae(d):
 
 @plan("A17_nonce_robustness")
 def nonce(d):
-    """Reads 1 and 2 as perturbed passes of read 0."""
+    """Reads 1 and 2 as perturbed passes of read 0: by type and (all) over all types, with nearest-rank 95th percentiles at int(0.95 n)."""
     return f"""WITH {reads(d)}, v AS (SELECT a.id, a.qid, a.type, b.rep, max(abs(a.p - b.p)) AS dp, sum(abs(a.p - b.p)) / 2 AS tv FROM rk a JOIN rk b ON a.id = b.id AND a.qid = b.qid AND a.k = b.k AND a.rep = 0 AND b.rep > 0 GROUP BY a.id, a.qid, a.type, b.rep),
-    w AS (SELECT v.*, CASE WHEN x.pick = y.pick THEN 1 ELSE 0 END AS agree, CASE WHEN x.pick = x.label AND y.pick <> y.label THEN 1 ELSE 0 END AS r2w, CASE WHEN x.pick <> x.label AND y.pick = y.label THEN 1 ELSE 0 END AS w2r
+    w AS (SELECT v.*, CASE WHEN x.pick = y.pick THEN 1 ELSE 0 END AS agree, CASE WHEN x.pick = x.label THEN 1 ELSE 0 END AS base_right, CASE WHEN y.pick = y.label THEN 1 ELSE 0 END AS pass_right
       FROM v JOIN rd x ON v.id = x.id AND v.qid = x.qid AND x.rep = 0 JOIN rd y ON v.id = y.id AND v.qid = y.qid AND v.rep = y.rep),
-    q AS (SELECT type, id, qid, min(agree) AS steady FROM w GROUP BY type, id, qid), f AS (SELECT type, round(avg(1e0 - steady), 6) AS any_flip FROM q GROUP BY type)
-    SELECT w.type, round(avg(agree * 1e0), 6) AS agreement, max(any_flip) AS any_flip, round(avg(dp), 6) AS mean_dp, round(avg(tv), 6) AS mean_tv, sum(r2w) AS right_to_wrong, sum(w2r) AS wrong_to_right FROM w JOIN f ON w.type = f.type GROUP BY w.type"""
+    z AS (SELECT type AS area, w.* FROM w UNION ALL SELECT 'all', w.* FROM w), r AS (SELECT area, dp, tv, row_number() OVER (PARTITION BY area ORDER BY dp) - 1 AS i, row_number() OVER (PARTITION BY area ORDER BY tv) - 1 AS j, count(*) OVER (PARTITION BY area) AS n FROM z),
+    p AS (SELECT area, max(CASE WHEN i = least(n - 1, {d.int('0.95 * n')}) THEN dp END) AS p95_dp, max(CASE WHEN j = least(n - 1, {d.int('0.95 * n')}) THEN tv END) AS p95_tv FROM r GROUP BY area),
+    q AS (SELECT area, id, qid, min(agree) AS steady FROM z GROUP BY area, id, qid), f AS (SELECT area, avg(1e0 - steady) AS any_flip FROM q GROUP BY area)
+    SELECT z.area, round(avg(agree * 1e0), 6) AS agreement, round(max(any_flip), 6) AS any_flip, round(avg(dp), 6) AS mean_dp, round(max(p95_dp), 6) AS p95_dp, round(avg(tv), 6) AS mean_tv, round(max(p95_tv), 6) AS p95_tv,
+      round(avg(base_right * 1e0), 6) AS accuracy_base, round(avg(pass_right * 1e0), 6) AS accuracy_passes, round(avg(CASE WHEN rep = 1 THEN pass_right * 1e0 END), 6) AS accuracy_pass1, round(avg(CASE WHEN rep = 2 THEN pass_right * 1e0 END), 6) AS accuracy_pass2,
+      sum(CASE WHEN base_right = 1 AND pass_right = 0 THEN 1 ELSE 0 END) AS right_to_wrong, sum(CASE WHEN base_right = 0 AND pass_right = 1 THEN 1 ELSE 0 END) AS wrong_to_right
+    FROM z JOIN f ON z.area = f.area JOIN p ON z.area = p.area GROUP BY z.area"""
 
 
 @plan("A18_p95_nearest_rank")
@@ -200,8 +205,11 @@ def two_seeds(d):
 
 @plan("A30_guard_decision")
 def guard(d):
-    return f"""WITH {reads(d)}, g AS (SELECT type, avg(CASE WHEN rep = 1 THEN brier END) - avg(CASE WHEN rep = 0 THEN brier END) AS delta, stddev_samp(brier) / sqrt(count(*)) AS se FROM rd GROUP BY type)
-    SELECT type, delta > 0 AS better, delta - 1.96 * se > 0 AS clear, delta > 0 AND delta - 1.96 * se > 0 AND -100 * delta <= 2.5 AS accepted FROM g"""
+    """Whether the candidate (read 1) may replace the baseline (read 0): less loss by the bootstrap of W20, its interval clear of zero, and no type of question worse by more than 2.5 points."""
+    return f"""WITH {reads(d)}, {draws(d)}, m AS (SELECT dr.replicate, sum(i.baseline - i.candidate) / sum(i.n) AS gain FROM dr JOIN i ON dr.stratum = i.stratum AND dr.slot = i.slot GROUP BY dr.replicate),
+    c AS (SELECT {d.quantile('gain', '0.025')} AS low, {d.quantile('gain', '0.975')} AS high FROM m), o AS (SELECT sum(baseline - candidate) / sum(n) AS gain FROM i),
+    a AS (SELECT max(loss) AS worst FROM (SELECT type, 100 * (avg(CASE WHEN rep = 1 THEN brier END) - avg(CASE WHEN rep = 0 THEN brier END)) AS loss FROM rd GROUP BY type) x)
+    SELECT round(gain, 6) AS gain, round(low, 5) AS low, round(high, 5) AS high, round(worst, 4) AS worst_loss, gain > 0 AS better, low > 0 AS clear, gain > 0 AND low > 0 AND worst <= 2.5 AS accepted FROM o CROSS JOIN c CROSS JOIN a"""
 
 
 @plan("A31_results_coverage")

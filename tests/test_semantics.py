@@ -2,9 +2,7 @@
 
 import gzip
 import json
-from fractions import Fraction
 
-import pytest
 from loomspark.operators import greedy, sets
 from loomspark.sources import files
 from pyspark.sql import functions as F
@@ -23,19 +21,6 @@ def test_tolerant_and_strict_reads(spark, tmp_path):
     assert files.read_jsonl(spark, str(tmp_path), "t string").where("_corrupt is not null").count() == 1
 
 
-def test_exact_arithmetic():
-    assert greedy.value_of("(1 + 2) / -6") == Fraction(-1, 2)
-    with pytest.raises(ValueError):
-        greedy.value_of("__import__('os')")
-    with pytest.raises(ZeroDivisionError):
-        greedy.value_of("1 / 0")
-
-
-def test_isomorphic_graphs_share_a_skeleton():
-    path, other, star = [(0, 1), (1, 2), (2, 3)], [(2, 0), (0, 3), (3, 1)], [(0, 1), (0, 2), (0, 3)]
-    assert greedy.skeleton(4, path) == greedy.skeleton(4, other) != greedy.skeleton(4, star)
-
-
 def test_fnv_vector(spark):
     assert spark.range(1).select(greedy.fnv1a(F.lit("a"))).first()[0] == 0xE40C292C
 
