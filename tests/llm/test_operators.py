@@ -509,3 +509,14 @@ def test_marks_beside_marks():
     for x, want in zip(texts, ref.encode_batch(texts, add_special_tokens=False)):
         assert np.frombuffer(t.encode(x)[0], dtype="<u4").tolist() == want.ids, ascii(x)
         assert t.count(x) == len(want.ids), ascii(x)
+
+
+def test_the_order_of_rules_repeats(spark):
+    d = docs(spark)
+    rules = quality_rules.RULES
+    first = [(r.name, share, cost) for r, share, cost in quality_rules.order_rules(d)]
+    assert all([(r.name, share, cost) for r, share, cost in quality_rules.order_rules(d)] == first for _ in range(2))
+    gain = [share / cost for _, share, cost in first]
+    assert gain == sorted(gain, reverse=True) and {n for n, _, _ in first} == {r.name for r in rules} and all(c > 0 for _, _, c in first)
+    assert set(quality_rules.WORK) == set(quality_rules.FEATURES)
+    assert [r for r, _, _ in quality_rules.order_rules(empty(spark))] == [*rules] and quality_rules.order_rules(d, ()) == []
