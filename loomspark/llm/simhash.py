@@ -176,6 +176,8 @@ FIRST_BITS, ALL_BITS = 22, 112
 #: at once; in larger ones each row is first linked to the NEAREST few, under the keys of its nearest codewords only, and then
 #: to all that these links left apart.
 LARGE_BUCKET, SMALL_BUCKET, NEAREST = 20_000, 2, 2
+#: Counts by which shingles are put in order.
+SHINGLE_BUCKETS = 1 << 20
 _EXPAND = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(WORDS)], dtype=np.uint64)
 
 
@@ -356,29 +358,46 @@ def candidates(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
 def other_candidates(bodies: DataFrame, roots: DataFrame, k: int = 5) -> DataFrame:
     """Pairs u, v of names (name, body: packed words) whose roots differ and whose sets may have similarity SIMILAR or more.
 
-    For names that have many near ones, of which most are linked already.  Exact: shingles are put in order, rare ones first;
+    For names that have many near ones, of which most are linked already.  Exact: shingles are put in one order, whatever it is;
     two similar sets share one among so many first shingles of either that fewer than SIMILAR of it come after, and from the
     first one they share on enough must be left of both.
     """
 
-    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(SHINGLE_BUCKETS, dtype=np.int64)
         for b in batches:
-            for name, body in zip(b["name"], b["body"], strict=True):
-                yield pd.DataFrame({"key": shingle_set(zlib.decompress(body), k).view(np.int64), "name": name})
-
-    def first(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, n = rows.sort_values(["df", "key"]), len(rows)
-        most = n - int(np.ceil(SIMILAR * n - 1e-9)) + 1
-        return rows.head(most).assign(size=n, place=range(min(n, most)))[["key", "name", "df", "size", "place"]]
-
-    rows = in_pandas(bodies.select("name", "body"), shingled, "key long, name long")
-    often = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    # A shingle that one set alone has joins nothing, but takes its place at the front.
-    prefixes = rows.join(often, "key", "left").select("key", "name", F.coalesce("df", F.lit(1)).cast("long").alias("df")).groupBy("name").applyInPandas(first, "key long, name long, df long, size long, place long").where("df > 1")
+            for body in b["body"]:
+                np.add.at(total, (shingle_set(zlib.decompress(body), k) % SHINGLE_BUCKETS).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": at, "n": total[at]})
+
+    sums = in_pandas(bodies.select("body"), counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(SHINGLE_BUCKETS, dtype=np.int64)
+    table[sums["bucket"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
+    frequent = bodies.sparkSession.sparkContext.broadcast(table)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys, places, sizes = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], []
+            for body in b["body"]:
+                h = shingle_set(zlib.decompress(body), k)
+                often = frequent.value[(h % SHINGLE_BUCKETS).astype(np.int64)]
+                order = np.lexsort((h, often))[: len(h) - int(np.ceil(SIMILAR * len(h) - 1e-9)) + 1]
+                place = np.flatnonzero(often[order] > 1)  # a bucket's only shingle joins nothing, but takes its place at the front
+                keys.append(h[order[place]])
+                places.append(place)
+                sizes.append(len(h))
+            each = [len(p) for p in places[1:]]
+            yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "name": np.repeat(b["name"].to_numpy(), each), "size": np.repeat(np.array(sizes, dtype=np.int64), each), "place": np.concatenate(places)})
+
+    prefixes = in_pandas(bodies.select("name", "body"), first, "key long, name long, size long, place long")
     prefixes = cut(prefixes.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name")))
-    m = F.when(F.col("df") > LARGE_BUCKET, F.ceil(F.col("df") * 2 / LARGE_BUCKET)).otherwise(F.lit(1).cast("long"))
-    spread = prefixes.withColumn("m", m).withColumn("c", F.expr("pmod(name, m)")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).where("m = 1 OR o <> c")
-    spread = spread.withColumn("key", F.when(F.col("m") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o"))))
+    heavy = cut(prefixes.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE_BUCKET).select("key", F.ceil(F.col("n") * 2 / LARGE_BUCKET).alias("m")))
+    spread = prefixes
+    if heavy.head(1):
+        chunk = prefixes.join(heavy, "key", "left").withColumn("m", F.coalesce("m", F.lit(1).cast("long"))).withColumn("c", F.expr("pmod(name, m)"))
+        chunk = chunk.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).where("m = 1 OR o <> c")
+        spread = chunk.withColumn("key", F.when(F.col("m") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o"))))
     return in_pandas(_by_key(spread.select("key", "name", "root", "size", "place")), _other_links, "u long, v long, more long").select("u", "v").distinct()
 
 
