@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,14 +64,6 @@ def best_item(spark, sf_dir):
     return meeting(spark, sf_dir, N1, 5, lambda table: best_item_sql(SPARK, table))
 
 
-@plan("J06_near_copies")
-def near_copies(d):
-    """Pairs at Jaccard above 0.8 on 5-grams, among one text of each group of equal texts."""
-    return f"""WITH one AS (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text), {grams(d, 'one', 'doc_id', 5, N1, 'a')}, t AS (SELECT id, count(*) AS n FROM a GROUP BY id),
-    c AS (SELECT x.id AS a_id, y.id AS b_id, count(*) AS n FROM a x JOIN a y ON x.g = y.g AND x.id < y.id GROUP BY x.id, y.id)
-    SELECT a_id, b_id, round({d.double('c.n')} / (s.n + u.n - c.n), 6) AS jaccard FROM c JOIN t s ON c.a_id = s.id JOIN t u ON c.b_id = u.id WHERE {d.double('c.n')} / (s.n + u.n - c.n) > 0.8"""
-
-
 @plan("J07_blocked_containment")
 def blocked_containment(d):
     """Candidates share one of their 16 smallest gram hashes; kept if the overlap reaches 0.8 of the smaller set."""
@@ -82,44 +73,6 @@ def blocked_containment(d):
     SELECT a_id, b_id, c.n AS shared, least(s.n, u.n) AS smaller FROM c JOIN t s ON c.a_id = s.id JOIN t u ON c.b_id = u.id WHERE 10 * c.n >= 8 * least(s.n, u.n)"""
 
 
-def near_pairs(d):
-    """CTEs up to near_pair: a_id < b_id at Jaccard above 0.8 on 5-grams, among the first text of each normalised hash."""
-    return f"""z AS (SELECT doc_id, text, {d.sha(d.join(d.words('lower(text)', N1), ' '))} AS h FROM documents), firsts AS (SELECT h, min(doc_id) AS keeper FROM z GROUP BY h),
-    one AS (SELECT z.doc_id, z.text FROM z JOIN firsts ON z.doc_id = firsts.keeper),
-    {grams(d, 'one', 'doc_id', 5, N1, 'a')}, t AS (SELECT id, count(*) AS n FROM a GROUP BY id), c AS (SELECT x.id AS a_id, y.id AS b_id, count(*) AS n FROM a x JOIN a y ON x.g = y.g AND x.id < y.id GROUP BY x.id, y.id),
-    near_pair AS (SELECT a_id, b_id FROM c JOIN t s ON c.a_id = s.id JOIN t u ON c.b_id = u.id WHERE {d.double('c.n')} / (s.n + u.n - c.n) > 0.8)"""
-
-
-def refused(pairs: DataFrame) -> DataFrame:
-    """id: of pairs a_id < b_id, every b_id with an a_id that is accepted itself, when ids come in ascending order.
-
-    Each round settles the pairs whose a_id stands behind nothing undecided; there are as many rounds as the longest chain of
-    pairs needs, each cut off in the shared folder.
-    """
-    live, out = cut(pairs.select("a_id", "b_id").distinct()), []
-    while live.head(1):
-        heads = live.select("a_id").distinct().join(live.select(F.col("b_id").alias("a_id")), "a_id", "left_anti")
-        now = cut(live.join(heads, "a_id", "left_semi").select(F.col("b_id").alias("id")).distinct())
-        out.append(now)
-        live = cut(live.join(now, live.b_id == now.id, "left_anti").join(now, F.col("a_id") == now.id, "left_anti"))
-    return reduce(DataFrame.unionByName, out, pairs.select(F.col("b_id").alias("id")).limit(0))
-
-
-@query("M15_dedupe", f"""WITH RECURSIVE {near_pairs(DUCK)}, p AS MATERIALIZED (SELECT * FROM near_pair), v AS MATERIALIZED (SELECT id, lows, row_number() OVER (ORDER BY id) AS rn FROM (SELECT b_id AS id, list(a_id) AS lows FROM p GROUP BY b_id) x),
-    r AS (SELECT 0::BIGINT AS rn, []::BIGINT[] AS gone UNION ALL SELECT v.rn, CASE WHEN len(list_filter(v.lows, lambda x: NOT list_contains(r.gone, x))) > 0 THEN list_append(r.gone, v.id) ELSE r.gone END FROM r JOIN v ON v.rn = r.rn + 1),
-    gone AS (SELECT unnest(gone) AS id FROM (SELECT gone FROM r ORDER BY rn DESC LIMIT 1) x)
-    SELECT z.doc_id, CASE WHEN gone.id IS NOT NULL THEN 'near' WHEN z.doc_id <> keeper THEN 'exact' ELSE 'kept' END AS verdict FROM z LEFT JOIN firsts ON z.h = firsts.h LEFT JOIN gone ON keeper = gone.id""")
-def dedupe(spark, sf_dir):
-    """Documents by ascending id: equal normalised hash, then Jaccard above 0.8, each against accepted texts only.
-
-    A copy of a text that was refused as near is refused as near.  Null texts have no hash and are kept.
-    """
-    gone = refused(run(spark, sf_dir, f"WITH {near_pairs(SPARK)} SELECT a_id, b_id FROM near_pair"))
-    named = run(spark, sf_dir, f"WITH {near_pairs(SPARK)} SELECT z.doc_id, keeper FROM z LEFT JOIN firsts ON z.h = firsts.h")
-    verdict = F.when(F.col("id").isNotNull(), "near").when(F.col("doc_id") != F.col("keeper"), "exact").otherwise("kept")
-    return named.join(gone, F.col("keeper") == F.col("id"), "left").select("doc_id", verdict.alias("verdict"))
-
-
 @plan("F15_family_drop")
 def family_drop(d):
     return f"""WITH x AS (SELECT doc_id, source || '/' || lang || '/' || {d.s(d.div('doc_id', '10'))} AS family, {d.like('text', 'password|secret|api_key')} AS hit FROM documents)
