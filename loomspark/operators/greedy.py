@@ -43,7 +43,8 @@ def hold_out(spark, sf_dir):
     return by_group(counts, "one", pick, "source string")
 
 
-@query("W19_audit_sample")
+@query("W19_audit_sample", """WITH r AS (SELECT doc_id, source, sha256('audit:' || doc_id) AS h, row_number() OVER (PARTITION BY source ORDER BY sha256('audit:' || doc_id), doc_id) AS rn FROM documents)
+    SELECT doc_id, source FROM r ORDER BY CASE WHEN rn <= 5 THEN 0 ELSE 1 END, h LIMIT 120""")
 def audit(spark, sf_dir):
     """Five of each family, then filled up by hash order to 120."""
     from pyspark.sql import Window
@@ -89,7 +90,9 @@ def shuffle(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", fnv1a(F.concat_ws(":", "source", "doc_id")).alias("seed")).mapInPandas(of, "doc_id long, options array<int>")
 
 
-@query("W26_tie_bands")
+@query("W26_tie_bands", """WITH RECURSIVE m AS (SELECT source, avg(n_chars) AS score FROM documents GROUP BY source), o AS (SELECT *, row_number() OVER (ORDER BY score DESC, source) AS i FROM m),
+    r AS (SELECT source, score, i, score AS leader, 1 AS band FROM o WHERE i = 1 UNION ALL SELECT o.source, o.score, o.i, CASE WHEN leader - o.score > 90 THEN o.score ELSE leader END, CASE WHEN leader - o.score > 90 THEN band + 1 ELSE band END FROM r JOIN o ON o.i = r.i + 1)
+    SELECT source, score, band FROM r""")
 def tie_bands(spark, sf_dir):
     """Groups of a ranking within a width of their leader; works on one row for each source."""
     means = docs(spark, sf_dir).groupBy("source").agg(F.avg("n_chars").alias("score")).withColumn("one", F.lit(1))
@@ -154,7 +157,7 @@ def length_window(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h")).mapInPandas(of, "doc_id long, first_line int, last_line int")
 
 
-@query("P25_markdown_sections")
+@query("P25_markdown_sections", r"""SELECT item_id, regexp_extract('## Name' || chr(10) || text || chr(10) || '## Rest' || chr(10) || 'end', '(?ms)^## Name\n(.*?)(?:^## |\z)', 1) AS body FROM benchmark""")
 def sections(spark, sf_dir):
     report = F.concat(F.lit("## Name\n"), "text", F.lit("\n## Rest\nend"))
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.regexp_extract(report, r"(?ms)^## Name\n(.*?)(?=^## |\z)", 1).alias("body"))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions.places import placed, running
+from ..plans.dialect import DUCK, SPARK
 from ..plans.reads import draws, reads
-from .registry import plan
+from .registry import plan, query
 
 
 def hashed(d, salt, key):
     return d.sha(f"'{salt}:' || {d.s(key)}")
 
 
-@plan("W01_hash_order")
-def hash_order(d):
-    return f"SELECT doc_id, row_number() OVER (ORDER BY {hashed(d, 'salt', 'doc_id')}, doc_id) AS ord FROM documents"
+@query("W01_hash_order", f"SELECT doc_id, row_number() OVER (ORDER BY {hashed(DUCK, 'salt', 'doc_id')}, doc_id) AS ord FROM documents")
+def hash_order(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", f"{hashed(SPARK, 'salt', 'doc_id')} AS h")
+    return placed(rows, F.col("h"), F.col("doc_id")).select("doc_id", (F.col("place") + 1).alias("ord"))
 
 
 @plan("W02_family_split")
@@ -45,16 +50,23 @@ def round_robin_unused(d):
     u AS (SELECT v.*, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {hashed(d, 'two', 'v.o_orderkey')}) AS rn FROM v WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.o_orderkey = v.o_orderkey)) SELECT o_orderkey, o_orderpriority, rn FROM u WHERE rn <= 10"""
 
 
-@plan("W09_group_prefix_budget")
-def group_prefix(d):
+def running_groups(spark, sf_dir: str, salt: str):
+    """Conversations in hash order with the turns up to and with each."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.count("*").alias("n")).withColumn("h", F.expr(hashed(SPARK, salt, "conv_id")))
+    return running(placed(turns, F.col("h"), F.col("conv_id")), [], "place", total=F.col("n"))
+
+
+@query("W09_group_prefix_budget", f"""WITH g AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), r AS (SELECT *, sum(n) OVER (ORDER BY {hashed(DUCK, 'p', 'conv_id')} ROWS UNBOUNDED PRECEDING) AS total, row_number() OVER (ORDER BY {hashed(DUCK, 'p', 'conv_id')}) AS rn FROM g)
+    SELECT conv_id, n, total::BIGINT AS total FROM r WHERE total <= 50 OR rn = 1""")
+def group_prefix(spark, sf_dir):
     """Whole groups while the running total stays in budget; the first is always taken, the first overflow ends it."""
-    return f"""WITH g AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), r AS (SELECT *, sum(n) OVER (ORDER BY {hashed(d, 'p', 'conv_id')} ROWS UNBOUNDED PRECEDING) AS total, row_number() OVER (ORDER BY {hashed(d, 'p', 'conv_id')}) AS rn FROM g)
-    SELECT conv_id, n, total FROM r WHERE total <= 50 OR rn = 1"""
+    return running_groups(spark, sf_dir, "p").where("total <= 50 OR place = 0").select("conv_id", "n", "total")
 
 
-@plan("W10_whole_records_overshoot")
-def overshoot(d):
-    return f"""WITH g AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), r AS (SELECT *, sum(n) OVER (ORDER BY {hashed(d, 'o', 'conv_id')} ROWS UNBOUNDED PRECEDING) - n AS before_it FROM g) SELECT conv_id, n FROM r WHERE before_it < 50"""
+@query("W10_whole_records_overshoot", f"""WITH g AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), r AS (SELECT *, sum(n) OVER (ORDER BY {hashed(DUCK, 'o', 'conv_id')} ROWS UNBOUNDED PRECEDING) - n AS before_it FROM g) SELECT conv_id, n FROM r WHERE before_it < 50""")
+def overshoot(spark, sf_dir):
+    """Whole groups until the quota is reached; the last may pass it."""
+    return running_groups(spark, sf_dir, "o").where("total - n < 50").select("conv_id", "n")
 
 
 @plan("W11_water_filling")
