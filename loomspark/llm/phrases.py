@@ -46,9 +46,11 @@ def phrases(found: list[bytes], k: int, frequent) -> list[bytes]:
     """The phrases of k words whose parts of k-1 words are frequent; of single words, all."""
     if k == 1:
         return [w for w in found if w != b"."]
-    part = found if k == 2 else [b" ".join(x) for x in zip(*(found[i:] for i in range(k - 1)))]
+    part = found
+    for i in range(1, k - 1):
+        part = [a + b" " + b for a, b in zip(part, found[i:])]
     good = frequent.has(part)
-    return [part[i] + b" " + found[i + k - 1] for i in range(len(part) - 1) if good[i] and good[i + 1]]
+    return [a + b" " + b for a, b, x, y in zip(part, found[k - 1 :], good, good[1:]) if x and y]
 
 
 class Bloom:
