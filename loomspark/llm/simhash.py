@@ -177,7 +177,7 @@ FIRST_BITS, ALL_BITS = 22, 112
 #: to all that these links left apart.
 LARGE_BUCKET, SMALL_BUCKET, NEAREST = 20_000, 2, 2
 #: Counts by which shingles are put in order.
-SHINGLE_BUCKETS = 1 << 20
+SHINGLE_BUCKETS = 1 << 18
 _EXPAND = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(WORDS)], dtype=np.uint64)
 
 
@@ -371,9 +371,9 @@ def other_candidates(bodies: DataFrame, roots: DataFrame, k: int = 5) -> DataFra
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at, "n": total[at]})
 
-    sums = in_pandas(bodies.select("body"), counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = in_pandas(bodies.select("body"), counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # columns, not rows
     table = np.zeros(SHINGLE_BUCKETS, dtype=np.int64)
-    table[sums["bucket"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
+    table[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
     frequent = bodies.sparkSession.sparkContext.broadcast(table)
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
