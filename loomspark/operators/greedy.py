@@ -6,7 +6,6 @@ that fit a task, or over summaries of bounded size; rows go in hash order where
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -109,35 +108,6 @@ def tie_bands(spark, sf_dir):
     return by_group(means, "one", bands, "source string, score double, band int")
 
 
-def leaves(value: object, path: str = "") -> Iterator[tuple[str, str]]:
-    if isinstance(value, dict):
-        for k, v in value.items():
-            yield from leaves(v, f"{path}.{k}")
-    elif isinstance(value, list):
-        for v in value:
-            yield from leaves(v, f"{path}[]")
-    elif value is not None:
-        yield path, str(value)
-
-
-@query("P13_P14_flatten_tree")
-def flatten(spark, sf_dir):
-    """Leaves of the events' JSON with their paths; text that is no JSON has none."""
-
-    def of(batches_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches_:
-            rows = []
-            for i, t in zip(b["event_id"], b["props"], strict=True):
-                try:
-                    rows += [(i, p, v) for p, v in leaves(json.loads(t or "null"))]
-                except ValueError:
-                    pass
-            yield pd.DataFrame(rows, columns=["event_id", "path", "value"])
-
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props").mapInPandas(of, "event_id long, path string, value string")
-
-
 @query("P20_length_matched_window")
 def length_window(spark, sf_dir):
     """Lines around a hashed start, grown to either side until 300 characters are reached."""

@@ -36,6 +36,6 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return keep
 
 
-from . import batching, calibrate, capped, dedup, exact, greedy, metrics, protected, records, selection, sets, similar  # noqa: E402, F401  they register their plans
+from . import batching, calibrate, capped, dedup, exact, greedy, metrics, protected, records, selection, sets, similar, trees  # noqa: E402, F401  they register their plans
 from ..sources import archive, files, ledger  # noqa: E402, F401
 from ..streaming import events  # noqa: E402, F401
