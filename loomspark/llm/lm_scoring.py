@@ -251,12 +251,12 @@ class Model:
             if room < 0:
                 break
             least = r["step"]
-        hot = self.words.where(self._step() >= F.lit(float(least))).toPandas()
-        self.hot = dict(zip(hot["word"].map(bytes), hot["n"].tolist(), strict=True))
-        self.short = self.grams.groupBy((F.col("gram") % ALL).alias("gram")).agg(F.sum("n").alias("n")).orderBy("gram").toPandas()
+        hot = self.words.where(self._step() >= F.lit(float(least))).toArrow()  # columns, not rows
+        self.hot = dict(zip(hot["word"].to_pylist(), hot["n"].to_pylist(), strict=True))
+        self.short = self.grams.groupBy((F.col("gram") % ALL).alias("gram")).agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
         self.cuts, held = [0], 0
-        sizes = self.grams.groupBy(self._end().alias("end")).agg(F.count("*").alias("n")).orderBy("end").toPandas()  # at most 2^24
-        for end, size in zip(sizes["end"].tolist(), sizes["n"].tolist(), strict=True):
+        sizes = self.grams.groupBy(self._end().alias("end")).agg(F.count("*").alias("n")).orderBy("end").toArrow()  # at most 2^24
+        for end, size in zip(sizes["end"].to_pylist(), sizes["n"].to_pylist(), strict=True):
             if held and held + size > slice_grams:
                 self.cuts.append(end)
                 held = 0
@@ -274,8 +274,8 @@ class Model:
 
     def tries(self) -> Iterator[Trie]:
         for low, high in zip(self.cuts, self.cuts[1:]):
-            part = self.grams.where(self._end().between(low, high - 1)).orderBy("gram").toPandas()
-            yield Trie(part["gram"].to_numpy(np.int64), part["n"].to_numpy(np.int64), self.short["gram"].to_numpy(np.int64), self.short["n"].to_numpy(np.int64), low, high)
+            part = self.grams.where(self._end().between(low, high - 1)).orderBy("gram").toArrow()
+            yield Trie(part["gram"].to_numpy(), part["n"].to_numpy(), self.short["gram"].to_numpy(), self.short["n"].to_numpy(), low, high)
 
 
 def score(docs: DataFrame, model: Model, folds: int = 10) -> DataFrame:

@@ -77,7 +77,7 @@ class Phrases:
     def __init__(self, langs: list[str], phrases_: list[bytes]):
         self.sets = defaultdict(set)
         for lang, p in zip(langs, phrases_, strict=True):
-            self.sets[lang].add(bytes(p))
+            self.sets[lang].add(p)
 
     def of(self, lang: str) -> Phrases:
         out = Phrases([], [])
@@ -93,9 +93,9 @@ def bloom(frequent: DataFrame, n: int) -> Bloom:
     size = min(FILTER_BITS, 1 << max(12, (PHRASE_BITS * n).bit_length()))
     h = F.xxhash64("lang", "phrase")  # the hash of lang is the seed for the phrase
     place = F.explode(F.array(*(F.shiftrightunsigned(h, 17 * i).bitwiseAND(F.lit(size - 1)) for i in range(FILTER_HASHES)))).alias("p")
-    rows = frequent.select(place).groupBy(F.shiftright("p", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("bits")).toPandas()
+    rows = frequent.select(place).groupBy(F.shiftright("p", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("bits")).toArrow()  # columns, not rows
     bits = np.zeros(size // 64, dtype=np.uint64)
-    bits[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    bits[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return Bloom(bits)
 
 
@@ -103,8 +103,8 @@ def sent(frequent: DataFrame, most: int, most_bytes: int) -> Broadcast:
     size = frequent.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("bytes")).first()
     if size["n"] > most or size["bytes"] > most_bytes:
         return frequent.sparkSession.sparkContext.broadcast(bloom(frequent, size["n"]))
-    rows = frequent.select("lang", "phrase").toPandas()
-    return frequent.sparkSession.sparkContext.broadcast(Phrases(rows["lang"].tolist(), rows["phrase"].tolist()))
+    rows = frequent.select("lang", "phrase").toArrow()
+    return frequent.sparkSession.sparkContext.broadcast(Phrases(rows["lang"].to_pylist(), rows["phrase"].to_pylist()))
 
 
 def counted(docs: DataFrame, k: int, frequent: Broadcast | None) -> DataFrame:
