@@ -169,13 +169,16 @@ def hex_print(fp) -> F.Column:
 WORDS, PAIRS = 7, 8
 #: Texts at this Jaccard similarity of their sets of shingles, or above, are copies.
 SIMILAR = 0.8
-#: Differing bits of the first word, and of all, beyond which a pair isn't compared.  Simulated at similarity 0.8 on 4 to 400
-#: shingles: 61 to 84 of all bits differ on average, 113 at most; what is nearer is decided by SIMILAR.
-FIRST_BITS, ALL_BITS = 22, 112
+#: Differing bits of the first word, of the first and another that has no part in the key, and of all, beyond which a pair isn't
+#: compared.  Simulated at similarity 0.8 on 4 to 400 shingles: 61 to 84 of all bits differ on average, 113 at most; what is
+#: nearer is decided by SIMILAR.  Two words, since one alone lets one in 120 chance meetings pass, and these grow with the square.
+FIRST_BITS, TWO_BITS, ALL_BITS = 22, 40, 112
 #: Rows under one key beyond which they meet in pairs of chunks; of so many rows or fewer under a key every pair is a candidate
 #: at once; in larger ones each row is first linked to the NEAREST few, under the keys of its nearest codewords only, and then
 #: to all that these links left apart.
-LARGE_BUCKET, SMALL_BUCKET, NEAREST = 20_000, 2, 2
+LARGE_BUCKET, SMALL_BUCKET, NEAREST = 20_000, 8, 2
+#: Comparisons that a task holds at a time.
+AT_ONCE = 1 << 20
 #: Counts by which shingles are put in order.
 SHINGLE_BUCKETS = 1 << 18
 _EXPAND = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(WORDS)], dtype=np.uint64)
@@ -243,43 +246,57 @@ def _frame(u: list[np.ndarray], v: list[np.ndarray], more: list[int]) -> pd.Data
     return pd.concat([got.assign(more=pd.array([None] * len(got), dtype="Int64")), pd.DataFrame({"u": None, "v": None, "more": sorted(set(more))}, dtype="Int64")])
 
 
+def _apart(first_u: np.ndarray, first_v: np.ndarray, second_u: np.ndarray, second_v: np.ndarray) -> np.ndarray:
+    """Differing bits of two words of fingerprints, 99 where they are too many."""
+    first = np.bitwise_count(first_u ^ first_v)
+    both = first + np.bitwise_count(second_u ^ second_v)
+    return np.where((first <= FIRST_BITS) & (both <= TWO_BITS), both, np.uint8(99))
+
+
 def _first_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows in order of key (key, name, the first word's bits, home): pairs of names under one key within FIRST_BITS.
+    """Of rows in order of key (key, name, two words of bits, home): near pairs of names under one key.
 
-    Under keys of SMALL_BUCKET rows or fewer all pairs.  Under larger ones each name that is at home there with the NEAREST of
+    Under keys of SMALL_BUCKET rows or fewer all near pairs.  Under larger ones each name that is at home there with the NEAREST of
     those before it and of all; ``more`` has the names of which that leaves pairs out.
     """
     said: set[int] = set()  # names that are in ``more`` already
     for x in _buckets(batches):
-        key, name, bits = x["key"].to_numpy(), x["name"].to_numpy(), x["bits"].to_numpy().view(np.uint64)
+        x = x.iloc[np.lexsort((x["name"], x["key"]))]
+        key, name, home = (x[c].to_numpy() for c in ("key", "name", "home"))
+        first, second = (x[c].to_numpy().view(np.uint64) for c in ("bits", "second"))
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(new, len(key)))
         big = np.repeat(size > SMALL_BUCKET, size)
-        u, v, more = [], [], []
+        u, v, more = [], [], [np.zeros(0, dtype=np.int64)]
         for lag in range(1, min(SMALL_BUCKET, max(size, default=1))):
             near = np.flatnonzero((key[lag:] == key[:-lag]) & ~big[lag:])
-            near = near[np.bitwise_count(bits[near] ^ bits[near + lag]) <= FIRST_BITS]
+            near = near[_apart(first[near], first[near + lag], second[near], second[near + lag]) < 99]
             u.append(name[near])
             v.append(name[near + lag])
-        for at, n in zip(new[size > SMALL_BUCKET], size[size > SMALL_BUCKET], strict=True):
-            order = at + np.argsort(name[at : at + n])
-            own, names, home = bits[order], name[order], x["home"].to_numpy()[order]
-            for a in range(0, n, 256):
-                far = np.bitwise_count(own[a : a + 256, None] ^ own[None, :])
-                i, at_home = np.arange(len(far)), home[a : a + 256]
-                far[i, a + i] = 99
-                before = np.where(np.arange(n)[None, :] < (a + i)[:, None], far, np.uint8(99))
-                for d in (far, before):
-                    for _ in range(NEAREST):
-                        j = d.argmin(axis=1)
-                        ok = (d[i, j] <= FIRST_BITS) & at_home
-                        u.append(names[a : a + 256][ok])
-                        v.append(names[j[ok]])
-                        d[i, j] = np.where(at_home, 99, d[i, j])
-                more += names[a : a + 256][(far <= FIRST_BITS).any(axis=1)].tolist()
+        for n in np.unique(size[size > SMALL_BUCKET]).tolist():  # keys of as many rows together
+            starts, step = new[size == n], max(1, min(n, AT_ONCE // n))
+            some = max(1, AT_ONCE // (n * step))
+            for s in range(0, len(starts), some):
+                rows = starts[s : s + some, None] + np.arange(n)
+                for a in range(0, n, step):
+                    own = rows[:, a : a + step]
+                    i, at_home = np.arange(own.shape[1]), home[own]
+                    far = _apart(first[own][:, :, None], first[rows][:, None, :], second[own][:, :, None], second[rows][:, None, :])
+                    far[:, i, a + i] = 99
+                    before = np.where(np.arange(n)[None, :] < (a + i)[:, None], far, np.uint8(99))
+                    for d in (far, before):
+                        for _ in range(NEAREST):
+                            j = d.argmin(axis=2)
+                            least = np.take_along_axis(d, j[:, :, None], axis=2)[:, :, 0]
+                            ok = (least < 99) & at_home
+                            u.append(name[own][ok])
+                            v.append(np.take_along_axis(name[rows], j, axis=1)[ok])
+                            np.put_along_axis(d, j[:, :, None], np.where(at_home, np.uint8(99), least)[:, :, None], axis=2)
+                    more.append(name[own][(far < 99).any(axis=2)])
         said = said if len(said) < 500_000 else set()
-        yield _frame(u, v, sorted(set(more) - said))
-        said.update(more)
+        left = [m for m in np.unique(np.concatenate(more)).tolist() if m not in said]
+        yield _frame(u, v, left)
+        said.update(left)
 
 
 def _other_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,16 +310,17 @@ def _other_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for low, high in zip(new, np.append(new[1:], len(key)), strict=True):
             name, root, size, place = (x[c].to_numpy()[low:high] for c in ("name", "root", "size", "place"))
             rest = size - place
-            for a in range(0, len(name), 256):
-                most = np.minimum(rest[a : a + 256, None], rest[None, a:])
-                i, j = np.nonzero((root[a : a + 256, None] != root[None, a:]) & (most * (1 + SIMILAR) >= SIMILAR * (size[a : a + 256, None] + size[None, a:])))
+            step = max(1, min(256, AT_ONCE // len(name)))
+            for a in range(0, len(name), step):
+                most = np.minimum(rest[a : a + step, None], rest[None, a:])
+                i, j = np.nonzero((root[a : a + step, None] != root[None, a:]) & (most * (1 + SIMILAR) >= SIMILAR * (size[a : a + step, None] + size[None, a:])))
                 i, j = i[i < j], j[i < j]
                 if len(i):
                     yield _frame([name[a + i]], [name[a + j]], [])
 
 
 def _dealt(prints: DataFrame) -> DataFrame:
-    """key, name and first bits of long fingerprints (name, fp), a row for each key.
+    """key, name and two words of long fingerprints (name, fp), a row for each key.
 
     Rows of a key of over LARGE_BUCKET go into chunks of half of that, and each pair of chunks is a key of its own, so all of
     them meet and none has more than LARGE_BUCKET.  Such a key has its share in some partition, so only what is frequent
@@ -318,7 +336,8 @@ def _dealt(prints: DataFrame) -> DataFrame:
             for p in range(PAIRS):
                 rows, key = pair_keys(fp, range(p, p + 1))
                 home = np.arange(len(rows)) < len(fp)  # the nearest codewords of both segments come first
-                yield pd.DataFrame({"key": key, "name": name[rows], "bits": bits[rows], "home": home})
+                second = fp[:, WORDS - 1 if 2 * p < PAIRS else 1].astype(np.uint64).view(np.int64)  # the pair's bits are in other words
+                yield pd.DataFrame({"key": key, "name": name[rows], "bits": bits[rows], "second": second[rows], "home": home})
 
     parts = max(1, prints.rdd.getNumPartitions())
     large = max(LARGE_BUCKET, parts)
@@ -334,7 +353,7 @@ def _dealt(prints: DataFrame) -> DataFrame:
             at = np.flatnonzero(total >= often)
             yield pd.DataFrame({"key": at.astype(np.int64) | (p << 24), "c": total[at].astype(np.int64)})
 
-    rows = in_pandas(prints.select("name", "fp"), of, "key long, name long, bits long, home boolean")
+    rows = in_pandas(prints.select("name", "fp"), of, "key long, name long, bits long, second long, home boolean")
     counts = in_pandas(prints.select("name", "fp"), frequent, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"), F.count("*").alias("in"))
     # Partitions that don't report a key have fewer than ``often`` rows of it each.
     most = F.col("c") + (F.lit(parts) - F.col("in")) * F.lit(often - 1)
@@ -342,7 +361,7 @@ def _dealt(prints: DataFrame) -> DataFrame:
     if not heavy.head(1):
         return rows
     spread = rows.join(heavy, "key", "left").withColumn("c", F.expr("pmod(name, m)")).withColumn("o", F.explode(F.when(F.col("m").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))).where("m IS NULL OR o <> c")
-    return spread.select(F.when(F.col("m").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o"))).alias("key"), "name", "bits", "home")
+    return spread.select(F.when(F.col("m").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o"))).alias("key"), "name", "bits", "second", "home")
 
 
 def _by_key(rows: DataFrame) -> DataFrame:

@@ -96,3 +96,31 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch):
         pairs = simhash.other_candidates(bodies, roots)
         assert {(x.u, x.v) for x in simhash.similar(pairs, bodies).collect()} == want
     assert simhash.other_candidates(bodies.limit(0), roots).count() == 0
+
+
+def test_chance_meetings_are_few():
+    """Texts of which none is like another: under shared keys hardly a pair is named, and no text has to meet all others."""
+    import numpy as np
+    import pandas as pd
+
+    r = np.random.default_rng(7)
+    n, keys = 60, 400
+    words = r.integers(-(1 << 63), (1 << 63) - 1, (n * keys, 2), dtype=np.int64)
+    frame = pd.DataFrame({"key": np.repeat(np.arange(keys), n), "name": np.arange(n * keys), "bits": words[:, 0], "second": words[:, 1], "home": True})
+    got = pd.concat(simhash._first_links(iter([frame])))
+    met = keys * n * (n - 1) // 2
+    assert got["u"].notna().sum() < met / 10_000 and got["more"].notna().sum() < n * keys / 100
+
+
+def test_large_keys_name_all_near_ones():
+    """Under a key of many near rows each is linked, or said to have more."""
+    import numpy as np
+    import pandas as pd
+
+    r = np.random.default_rng(8)
+    for n in (3, 8, 9, 40):
+        frame = pd.DataFrame({"key": 5, "name": r.permutation(n), "bits": r.choice([0, 1, 2, 4], n), "second": 0, "home": True}).astype({"bits": "int64"})
+        got = pd.concat(simhash._first_links(iter([frame])))
+        pairs = {(u, v) for u, v in got[["u", "v"]].dropna().itertuples(index=False)}
+        assert {x for p in pairs for x in p} == {*range(n)} and all(u < v for u, v in pairs)
+        assert len(pairs) == n * (n - 1) // 2 if n <= simhash.SMALL_BUCKET else {*got["more"].dropna()} == {*range(n)}
