@@ -19,6 +19,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,7 +92,7 @@ class ArchiveReader(DataSourceReader):
             try:
                 with where.open_input_file(archive) as f:
                     if archive.endswith(".zip"):
-                        with zipfile.ZipFile(f) as z:
+                        with zipfile.ZipFile(Seekable(f)) as z:
                             out += [Stretch(archive, m.filename) for m in z.infolist() if not m.is_dir() and self.wanted(m.filename)]
                     else:
                         with tarfile.open(fileobj=f, mode="r:") as t:
@@ -105,7 +106,9 @@ class ArchiveReader(DataSourceReader):
     def wanted(self, name: str) -> bool:
         return fnmatch.fnmatchcase(name, self.pattern)
 
-    def read(self, part: Stretch) -> Iterator[tuple]:
+    def read(self, part: Stretch | None) -> Iterator[tuple]:
+        if part is None:  # Spark's one partition where there is none
+            return
         where, _ = store(self.path)
         try:
             with where.open_input_file(part.archive) as f:
@@ -124,7 +127,7 @@ class ArchiveReader(DataSourceReader):
                 start += len(stream.readline()) - 1
             yield from self.told(part, part.member, lines(stream, start, part.end))
         elif part.archive.endswith(".zip"):
-            with zipfile.ZipFile(f) as z, z.open(part.member) as stream:
+            with zipfile.ZipFile(Seekable(f)) as z, z.open(part.member) as stream:
                 yield from self.told(part, part.member, lines(io.BufferedReader(stream), 0, -1))
         else:
             with tarfile.open(fileobj=f, mode="r:*") as t:
@@ -140,6 +143,38 @@ class ArchiveReader(DataSourceReader):
                 yield part.archive, member, at, None, f"{type(e).__name__}: {e.reason}"
 
 
+class Seekable(io.BufferedReader):
+    """A file for zipfile, which asks for places before the beginning of short ones and takes OSError for an answer."""
+
+    def __init__(self, f):
+        super().__init__(Places(f))
+
+
+class Places(io.RawIOBase):
+    def __init__(self, f):
+        self.f = f
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, at: int, whence: int = 0) -> int:
+        try:
+            return self.f.seek(at, whence)
+        except ValueError as e:
+            raise OSError(str(e)) from e
+
+    def tell(self) -> int:
+        return self.f.tell()
+
+    def readinto(self, buffer) -> int:
+        got = self.f.read(len(buffer))
+        buffer[: len(got)] = got
+        return len(got)
+
+
 class Region(io.RawIOBase):
     """So many bytes of a file from where it stands, for buffered reading."""
 
@@ -168,6 +203,9 @@ class ArchiveWriter(DataSourceWriter):
         self.path, self.kind, self.most = options["path"], options.get("kind", "tar"), int(options.get("memberBytes", MEMBER_BYTES))
 
     def write(self, rows: Iterator) -> Written:
+        first = next(rows, None)
+        if first is None:
+            return Written([])  # a task without rows leaves no archive
         where, folder = store(self.path)
         where.create_dir(folder, recursive=True)
         name = f"{uuid.uuid4().hex}.{self.kind}"
@@ -187,7 +225,7 @@ class ArchiveWriter(DataSourceWriter):
                     info.size = len(body)
                     archive.addfile(info, io.BytesIO(body))
 
-            for row in rows:
+            for row in chain((first,), rows):
                 line = row["value"].encode("utf-8") + b"\n"
                 held.setdefault(row["member"], []).append(line)
                 size[row["member"]] = size.get(row["member"], 0) + len(line)
@@ -200,6 +238,7 @@ class ArchiveWriter(DataSourceWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         where, folder = store(self.path)
+        where.create_dir(folder, recursive=True)
         for m in messages:
             for name in m.names if m else ():
                 where.move(f"{folder}/_{name}", f"{folder}/{name}")

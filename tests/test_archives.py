@@ -80,3 +80,15 @@ def test_a_failed_write_leaves_no_archive(spark, tmp_path):
 def test_no_such_path(spark, tmp_path):
     with pytest.raises(Exception, match="FileNotFound"):
         archive.read_archive(spark, str(tmp_path / "nothing")).collect()
+
+
+def test_tasks_without_rows_and_empty_zips(spark, tmp_path):
+    df = spark.range(8).repartition(8).where("id = 3").selectExpr("'m' AS member", "'x' AS value")
+    archive.write_archive(df, str(tmp_path / "out"), "zip")
+    assert len(archive.listed(str(tmp_path / "out"))) == 1
+    with zipfile.ZipFile(tmp_path / "out" / "empty.zip", "w"):
+        pass
+    got = archive.read_archive(spark, str(tmp_path / "out")).collect()
+    assert [(r.value, r.error) for r in got] == [("x", None)]
+    archive.write_archive(df.where("value = 'y'"), str(tmp_path / "none"), "zip")
+    assert archive.read_archive(spark, str(tmp_path / "none")).count() == 0
