@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..plans.reads import draws, questions, reads
-from .registry import plan
+from .registry import plan, query
 
 
 def record(d) -> str:
@@ -253,10 +255,16 @@ def pattern_match(d):
     SELECT anchor, CASE WHEN count(DISTINCT s_suppkey) > 1 THEN 'ambiguous' ELSE 'supported' END AS status, min(trace) AS trace FROM p GROUP BY anchor"""
 
 
-@plan("J09_exhaustive_oracle")
-def exhaustive(d):
-    """The same by membership tests only."""
-    return """SELECT o.o_orderkey AS anchor FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN customer c ON s.s_nationkey = c.c_nationkey WHERE l.l_orderkey = o.o_orderkey AND c.c_custkey = o.o_custkey)"""
+@query("J09_exhaustive_oracle", """SELECT o.o_orderkey AS anchor FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN customer c ON s.s_nationkey = c.c_nationkey WHERE l.l_orderkey = o.o_orderkey AND c.c_custkey = o.o_custkey)""")
+def exhaustive(spark, sf_dir):
+    """The same by membership tests only: an order's customer gives the nation that one of its suppliers must have.
+
+    Suppliers and customers meet by nation only under an order, never all of a nation's with each other.
+    """
+    orders, lines, suppliers, customers = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem", "supplier", "customer"))
+    nations = lines.select("l_orderkey", "l_suppkey").join(suppliers.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation")), "l_suppkey").select(F.col("l_orderkey").alias("o_orderkey"), "nation")
+    found = orders.select("o_orderkey", "o_custkey").join(customers.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation")), "o_custkey").join(nations, ["o_orderkey", "nation"], "left_semi")
+    return orders.join(found, ["o_orderkey", "o_custkey"], "left_semi").select(F.col("o_orderkey").alias("anchor"))
 
 
 def ranked(d, table, key, out):
