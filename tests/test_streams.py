@@ -50,3 +50,13 @@ def test_the_day_log_forgets(spark, tmp_path):
     put(spark, tmp_path, [(6, at(30), 1, "c", 1.0, "")])
     got = {r.event_type: (r.n, r.minutes) for r in registry.QUERIES["X03_day_eviction"](spark, str(tmp_path)).collect()}
     assert got == {"a": (2, 1), "c": (1, 1)}
+
+
+def test_a_month_of_minutes_is_forgotten_at_once(spark, tmp_path):
+    """20,000 minutes in one file: no timer a minute."""
+    import time
+
+    put(spark, tmp_path, [(i, START + datetime.timedelta(minutes=i), 1, "a", 1.0, "") for i in range(20_000)])
+    began = time.time()
+    got = {r.event_type: (r.n, r.minutes) for r in registry.QUERIES["X03_day_eviction"](spark, str(tmp_path)).collect()}
+    assert got == {"a": (1441, 1441)} and time.time() - began < 60
