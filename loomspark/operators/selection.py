@@ -101,10 +101,20 @@ def bucket_fallback(d):
     return f"""WITH x AS (SELECT a.doc_id, lang, CASE WHEN toxic = 1 THEN 0 ELSE 1 END AS prio FROM documents a JOIN labels b ON a.doc_id = b.doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY prio, {hashed(d, 'b', 'doc_id')}) AS rn FROM x) SELECT doc_id, lang, prio FROM r WHERE rn <= 40"""
 
 
+def range_of(h: str) -> str:
+    """One of 4096 ranges of a hash; Spark ranks within them, after what the ranges before hold, so no window takes in all rows."""
+    return f"coalesce(substr({h}, 1, 3), '')"
+
+
 @plan("W16_whole_group_sample")
 def group_sample(d):
     """A tenth, rounded up, of the orders of each signature of return flags, with all their lines."""
-    return f"""WITH s AS (SELECT l_orderkey AS grp, {d.join(d.gather('l_returnflag'), '+')} AS signature FROM lineitem GROUP BY l_orderkey), r AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY {hashed(d, 'grp', 'grp')}, grp) AS rn, count(*) OVER (PARTITION BY signature) AS n FROM s),
+    ranks = f"r AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY {hashed(d, 'grp', 'grp')}, grp) AS rn, count(*) OVER (PARTITION BY signature) AS n FROM s)"
+    if d is SPARK:
+        ranks = f"""h AS (SELECT *, {hashed(d, 'grp', 'grp')} AS hs FROM s), c AS (SELECT signature, {range_of('hs')} AS q, count(*) AS c FROM h GROUP BY signature, {range_of('hs')}),
+    o AS (SELECT signature, q, sum(c) OVER (PARTITION BY signature ORDER BY q) - c AS ahead, sum(c) OVER (PARTITION BY signature) AS n FROM c),
+    r AS (SELECT grp, ahead + row_number() OVER (PARTITION BY o.signature, o.q ORDER BY hs, grp) AS rn, n FROM h JOIN o ON h.signature = o.signature AND {range_of('hs')} = o.q)"""
+    return f"""WITH s AS (SELECT l_orderkey AS grp, {d.join(d.gather('l_returnflag'), '+')} AS signature FROM lineitem GROUP BY l_orderkey), {ranks},
     k AS (SELECT grp FROM r WHERE rn <= {d.div('n + 9', '10')}) SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT grp FROM k)"""
 
 
@@ -147,8 +157,12 @@ def best_of(d):
 @plan("W27_distractor_menu")
 def distractors(d):
     """Fifteen other parts for every part, of its own type first: those that follow it, in a ring, in hash order."""
-    return f"""WITH h AS (SELECT p_partkey, coalesce(p_type, '') AS p_type, {hashed(d, 'menu', 'p_partkey')} AS hs FROM part),
-    p AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY hs, p_partkey) - 1 AS r, count(*) OVER (PARTITION BY p_type) AS n, row_number() OVER (ORDER BY hs, p_partkey) - 1 AS g, count(*) OVER () AS total FROM h),
+    before, place, total, rows = "", "row_number() OVER (ORDER BY hs, p_partkey)", "count(*) OVER () AS total", "h"
+    if d is SPARK:
+        before = f" c AS (SELECT {range_of('hs')} AS q, count(*) AS c FROM h GROUP BY {range_of('hs')}), t AS (SELECT q, sum(c) OVER (ORDER BY q) - c AS ahead, sum(c) OVER () AS total FROM c),"
+        place, total, rows = "ahead + row_number() OVER (PARTITION BY q ORDER BY hs, p_partkey)", "total", f"h JOIN t ON {range_of('hs')} = q"
+    return f"""WITH h AS (SELECT p_partkey, coalesce(p_type, '') AS p_type, {hashed(d, 'menu', 'p_partkey')} AS hs FROM part),{before}
+    p AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY hs, p_partkey) - 1 AS r, count(*) OVER (PARTITION BY p_type) AS n, {place} - 1 AS g, {total} FROM {rows}),
     a AS (SELECT p_partkey, p_type, r, n, {d.each(d.seq('1', 'cast(least(15, n - 1) as int)'))} AS j FROM p), same AS (SELECT a.p_partkey AS part_id, o.p_partkey AS other, a.j AS rn FROM a JOIN p o ON o.p_type = a.p_type AND o.r = (a.r + a.j) % a.n),
     f AS (SELECT p_partkey, p_type, n, g, total, {d.each(d.seq('1', 'cast(least(29, total - 1) as int)'))} AS j FROM p WHERE n < 16), rest AS (SELECT f.p_partkey AS part_id, o.p_partkey AS other, f.n - 1 + row_number() OVER (PARTITION BY f.p_partkey ORDER BY f.j) AS rn FROM f JOIN p o ON o.g = (f.g + f.j) % f.total AND o.p_type <> f.p_type)
     SELECT part_id, other, rn FROM same UNION ALL SELECT part_id, other, rn FROM rest WHERE rn <= 15"""

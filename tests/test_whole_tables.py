@@ -38,3 +38,15 @@ def test_results_and_suite(spark, tmp_path):
     put(spark, tmp_path, "orders", [(10,), (11,), (20,)], "o_orderkey long")
     sf = put(spark, tmp_path, "lineitem", [(10,), (11,), (30,)], "l_orderkey long")
     assert {r.side: r.n for r in registry.QUERIES["J01_results_x_suite"](spark, sf).collect()} == {"both": 2, "missing": 1, "outside": 1}
+
+
+def test_ranks_take_no_group_whole(spark):
+    """Windows of W16 and W27 are by ranges of a hash, or by part type; none is over all rows or all of a signature."""
+    import re
+
+    from loomspark.operators import selection
+    from loomspark.plans.dialect import SPARK
+
+    rows = r"row_number\(\) OVER \((?:PARTITION BY ([a-z_., ]+?) )?ORDER BY"
+    assert re.findall(rows, selection.group_sample(SPARK)) == ["o.signature, o.q"]
+    assert set(re.findall(rows, selection.distractors(SPARK))) == {"p_type", "q", "f.p_partkey"}
