@@ -8,8 +8,10 @@ that the next AHEAD steps may ask for, and the driver then walks these steps for
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,16 +52,28 @@ def refuse(rows: DataFrame) -> None:
 
 def losses(rows: DataFrame, points: dict[str, list[float]]) -> dict[str, list[float]]:
     """Mean negative log likelihood of each group at each of its points (logarithms of temperatures); all groups have as many."""
-    spark = rows.sparkSession
-    sent = F.broadcast(spark.createDataFrame([(g, [math.exp(x) for x in p]) for g, p in points.items()], "_g string, _t array<double>"))
-    top = F.array_max("z")
-    partition = lambda t: F.log(F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp((x - F.col("_top")) / t)))
-    # -sum target * (z / t - top / t - log partition): the targets add up to one only nearly, so they are kept apart
-    loss = F.transform("_t", lambda t: F.col("_sum") * partition(t) - F.col("_dot") / t)
-    dot = F.aggregate(F.arrays_zip("z", "target"), F.lit(0.0), lambda s, x: s + F.when(x["target"] == 0, 0.0).otherwise(x["target"] * (x["z"] - F.col("_top"))))
-    each = rows.withColumn("_top", top).withColumn("_dot", dot).withColumn("_sum", F.aggregate("target", F.lit(0.0), lambda s, x: s + x)).join(sent, F.col("group") == F.col("_g"))
+    temperatures = {g: [math.exp(x) for x in p] for g, p in points.items()}
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row for each group and point of what a partition holds."""
+        total = {g: np.zeros(len(t)) for g, t in temperatures.items()}
+        count = dict.fromkeys(temperatures, 0)
+        for b in batches:
+            for (g, _), part in b.groupby(["group", b["z"].map(len)]):
+                if g not in temperatures:
+                    continue
+                z, target = np.stack(part["z"].to_numpy()), np.stack(part["target"].to_numpy())
+                z = z - z.max(axis=1, keepdims=True)
+                # -sum target * (z / t - top / t - log partition): the targets add up to one only nearly, so they are kept apart
+                dot, all_ = np.where(target == 0, 0.0, target * z).sum(axis=1), target.sum(axis=1)
+                total[g] += [float((all_ * np.log(np.exp(z / t).sum(axis=1)) - dot / t).sum()) for t in temperatures[g]]
+                count[g] += len(part)
+        for g, n in count.items():
+            if n:
+                yield pd.DataFrame({"group": g, "at": range(len(total[g])), "loss": total[g], "n": n})
+
     out: dict[str, list[float]] = {g: [0.0] * len(p) for g, p in points.items()}
-    for r in each.select("group", F.posexplode(loss).alias("at", "loss")).groupBy("group", "at").agg(F.avg("loss").alias("loss")).collect():
+    for r in rows.mapInPandas(sums, "group string, at int, loss double, n long").groupBy("group", "at").agg((F.sum("loss") / F.sum("n")).alias("loss")).collect():
         out[r["group"]][r["at"]] = r["loss"]
     return out
 
