@@ -175,7 +175,7 @@ SIMILAR = 0.8
 FIRST_BITS, TWO_BITS, ALL_BITS = 22, 40, 112
 #: Rows under one key beyond which they meet in pairs of chunks; of so many rows or fewer under a key every pair is a candidate
 #: at once; in larger ones each row is first linked to the NEAREST few, under the keys of its nearest codewords only, and then
-#: to all that these links left apart.
+#: to all that these links left apart (so are pairs of such names under small keys).
 LARGE_BUCKET, SMALL_BUCKET, NEAREST = 20_000, 8, 2
 #: Comparisons that a task holds at a time.
 AT_ONCE = 1 << 20
@@ -256,8 +256,8 @@ def _apart(first_u: np.ndarray, first_v: np.ndarray, second_u: np.ndarray, secon
 def _first_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of rows in order of key (key, name, two words of bits, home): near pairs of names under one key.
 
-    Under keys of SMALL_BUCKET rows or fewer all near pairs.  Under larger ones each name that is at home there with the NEAREST of
-    those before it and of all; ``more`` has the names of which that leaves pairs out.
+    Under keys of SMALL_BUCKET rows or fewer all near pairs (``few``).  Under larger ones each name that is at home there with the
+    NEAREST of those before it and of all; ``more`` has the names of which that leaves pairs out.
     """
     said: set[int] = set()  # names that are in ``more`` already
     for x in _buckets(batches):
@@ -267,12 +267,12 @@ def _first_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(new, len(key)))
         big = np.repeat(size > SMALL_BUCKET, size)
-        u, v, more = [], [], [np.zeros(0, dtype=np.int64)]
+        few_u, few_v, u, v, more = [], [], [], [], [np.zeros(0, dtype=np.int64)]
         for lag in range(1, min(SMALL_BUCKET, max(size, default=1))):
             near = np.flatnonzero((key[lag:] == key[:-lag]) & ~big[lag:])
             near = near[_apart(first[near], first[near + lag], second[near], second[near + lag]) < 99]
-            u.append(name[near])
-            v.append(name[near + lag])
+            few_u.append(name[near])
+            few_v.append(name[near + lag])
         for n in np.unique(size[size > SMALL_BUCKET]).tolist():  # keys of as many rows together
             starts, step = new[size == n], max(1, min(n, AT_ONCE // n))
             some = max(1, AT_ONCE // (n * step))
@@ -295,7 +295,8 @@ def _first_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     more.append(name[own][(far < 99).any(axis=2)])
         said = said if len(said) < 500_000 else set()
         left = [m for m in np.unique(np.concatenate(more)).tolist() if m not in said]
-        yield _frame(u, v, left)
+        yield _frame(few_u, few_v, []).assign(few=True)
+        yield _frame(u, v, left).assign(few=False)
         said.update(left)
 
 
@@ -369,9 +370,16 @@ def _by_key(rows: DataFrame) -> DataFrame:
 
 
 def candidates(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs u, v of names of long fingerprints (name, fp) that share a key and are near in the first word, and the names that have more."""
-    got = cut(in_pandas(_by_key(_dealt(prints)), _first_links, "u long, v long, more long"))
-    return got.where("u IS NOT NULL").select("u", "v").distinct(), got.where("more IS NOT NULL").select(F.col("more").alias("name")).distinct()
+    """Pairs u, v of names of long fingerprints (name, fp) that share a key and are near in two words, and the names that have more.
+
+    All pairs among the names that have more are looked for by ``other_candidates``, so of these only the nearest come out here:
+    the many members of a group share small keys too, and pairs under them would grow with the square of the group.
+    """
+    got = cut(in_pandas(_by_key(_dealt(prints)), _first_links, "u long, v long, more long, few boolean"))
+    more = cut(got.where("more IS NOT NULL").select(F.col("more").alias("name")).distinct())
+    few = got.where("few AND u IS NOT NULL").select("u", "v")
+    alone = [few.join(more, few[x] == more["name"], "left_anti") for x in "uv"]  # one end or both have no more
+    return got.where("NOT few AND u IS NOT NULL").select("u", "v").union(alone[0]).union(alone[1]).distinct(), more
 
 
 def other_candidates(bodies: DataFrame, roots: DataFrame, k: int = 5) -> DataFrame:
@@ -490,7 +498,6 @@ def near_dedup(docs: DataFrame, k: int = 5) -> DataFrame:
 
     pairs, crowded = candidates(prints)
     pairs = cut(close(prints, pairs))
-    crowded = cut(crowded)
     # Texts are fetched for names in a pair, and for those that may have more, only.
     bodies = bodies_of(pairs.select(F.col("u").alias("name")).union(pairs.select("v")).union(crowded).distinct())
     links = cut(similar(pairs, bodies, k))

@@ -124,3 +124,22 @@ def test_large_keys_name_all_near_ones():
         pairs = {(u, v) for u, v in got[["u", "v"]].dropna().itertuples(index=False)}
         assert {x for p in pairs for x in p} == {*range(n)} and all(u < v for u, v in pairs)
         assert len(pairs) == n * (n - 1) // 2 if n <= simhash.SMALL_BUCKET else {*got["more"].dropna()} == {*range(n)}
+
+
+def test_pairs_of_a_group_under_small_keys(spark):
+    """Candidates of a group of near copies grow with the group, not with its square, and nobody stays that has a copy."""
+    r = random.Random(12)
+    base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    texts = [changed(base, 5, r) for _ in range(400)]
+    rows = [(i, simhash.long_fingerprint(simhash.shingle_set(t.encode())).tobytes()) for i, t in enumerate(texts)]
+    pairs, more = simhash.candidates(spark.createDataFrame(rows, "name long, fp binary").repartition(4))
+    assert more.count() == len(texts)
+    assert pairs.count() <= 2 * simhash.NEAREST * simhash.PAIRS * len(texts)  # each is at home under a key of each pair
+    docs = [(i, t) for i, t in enumerate(texts[:150])]
+    roots = [*range(150)]
+    for i in range(150):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                roots = [min(roots[i], roots[j]) if x in (roots[i], roots[j]) else x for x in roots]
+    assert 1 < len({*roots}) < 150
+    assert {x.doc_id for x in simhash.near_dedup(spark.createDataFrame(docs, SCHEMA)).collect()} == {*roots}
