@@ -3,8 +3,8 @@
 A greedy pick takes what fits and passes over what doesn't.  Up to the first misfit that is a running sum that stays within its
 limit, so one round finds it for all segments at once.  Limits only fall: what no longer fits after a round never will, and goes;
 the next round starts behind.  Rounds are few, as each misfit leaves less room than it needed.  Sums run along written places by
-blocks, so no source, family or class is ever put into one task.  When at most LOCAL_ROWS rows are left, the driver ends the
-pick by a loop.
+blocks, so no source, family or class is ever put into one task.  Each round is written as a table, which keeps the planner's
+sizes of the next one small.  When at most LOCAL_ROWS rows are left, the driver ends the pick by a loop.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import written
 from ..functions.places import placed, running
 from .registry import query
 
@@ -34,11 +34,11 @@ def within(rows: DataFrame, limits: DataFrame) -> DataFrame:
     taken, kept = [], [c for c in rows.columns]
     while True:
         summed = running(rows, ["source"], "place", total=F.col("q"), n=F.lit(1)).join(limits, "source")
-        summed = cut(summed.select(*kept, "total", "n", "room", "turn"))
+        summed = written(summed.select(*kept, "total", "n", "room", "turn"))
         good = summed.where("total <= room")
         taken.append(good.select(*kept, (F.col("turn") + F.col("n")).alias("turn")))
         used = good.groupBy("source").agg(F.max("total").alias("used"), F.max("n").alias("picks"))
-        limits = cut(limits.join(used, "source", "left").select("source", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"), (F.col("turn") + F.coalesce("picks", F.lit(0))).alias("turn")))
+        limits = written(limits.join(used, "source", "left").select("source", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"), (F.col("turn") + F.coalesce("picks", F.lit(0))).alias("turn")))
         rows = summed.where("total > room").select(*kept).join(limits.select("source", F.col("room").alias("_room")), "source").where("q <= _room").select(*kept)
         if not rows.head(1):
             return reduce(DataFrame.unionByName, taken)
@@ -53,12 +53,12 @@ def round_robin(df: DataFrame, source: str, key: str, weight: str, cap: int, bud
     """
     name, spark = F.coalesce(F.col(source), F.lit("")), df.sparkSession
     rows = df.select(name.alias("source"), F.col(key).alias("key"), F.coalesce(F.col(weight), F.lit(0)).cast("long").alias("q"), hashed(salt, F.col(key).cast("string")).alias("h"))
-    order = cut(placed(rows.select("source").distinct().withColumn("h", hashed(salt, "source", F.col("source"))), F.col("h"), F.col("source"), name="o").select("source", "o"))
+    order = written(placed(rows.select("source").distinct().withColumn("h", hashed(salt, "source", F.col("source"))), F.col("h"), F.col("source"), name="o").select("source", "o"))
     rows = placed(rows.join(order, "source"), F.col("o"), F.col("h"), F.col("key")).select("source", "o", "key", "q", "place")
     state = order.select("source", "o", F.lit(cap).cast("long").alias("room"), F.lit(0).cast("long").alias("turn"))
     left, picked, rounds = budget, [], 0
     while True:
-        rows = cut(rows.join(state.select("source", "room"), "source").where((F.col("q") <= F.col("room")) & (F.col("q") <= left)).drop("room"))
+        rows = written(rows.join(state.select("source", "room"), "source").where((F.col("q") <= F.col("room")) & (F.col("q") <= left)).drop("room"))
         some = rows.limit(local_rows + 1).count()
         if not some:
             break
@@ -67,7 +67,7 @@ def round_robin(df: DataFrame, source: str, key: str, weight: str, cap: int, bud
             break
         rounds += 1
         sure = placed(within(rows, state.select("source", "room", "turn")).withColumnRenamed("place", "own"), F.col("turn"), F.col("o"), name="at")
-        sure = cut(running(sure, [], "at", total=F.col("q")))
+        sure = written(running(sure, [], "at", total=F.col("q")))
         misfit = sure.where(F.col("total") > left).orderBy("at").select("at", "turn", "o").first()
         good = sure if misfit is None else sure.where(F.col("at") < misfit["at"])
         picked.append(good.select("source", "key", "q", "turn", "o"))
@@ -76,7 +76,7 @@ def round_robin(df: DataFrame, source: str, key: str, weight: str, cap: int, bud
         left -= good.agg(F.coalesce(F.max("total"), F.lit(0))).first()[0]
         # from here on no row of a source that was picked or passed over counts; the misfit's source goes on in the same turn
         passed = good.groupBy("source").agg(F.sum("q").alias("used"), F.max("own").alias("upto"))
-        state = cut(state.join(passed, "source", "left").select("source", "o", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"), F.when(F.col("o") >= misfit["o"], misfit["turn"] - 1).otherwise(misfit["turn"]).cast("long").alias("turn"), F.coalesce("upto", F.lit(-1)).alias("upto")))
+        state = written(state.join(passed, "source", "left").select("source", "o", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"), F.when(F.col("o") >= misfit["o"], misfit["turn"] - 1).otherwise(misfit["turn"]).cast("long").alias("turn"), F.coalesce("upto", F.lit(-1)).alias("upto")))
         rows = rows.join(state.select("source", "upto"), "source").where((F.col("place") > F.col("upto")) & ~((F.col("o") == misfit["o"]) & (F.col("q") > left))).drop("upto")
         state = state.drop("upto")
     if not picked:
@@ -118,7 +118,7 @@ def whole_families(df: DataFrame, family: str, cls: str, key: str, quota: dict[s
     rows = df.where(F.col(family).isNotNull() & F.col(key).isNotNull()).select(F.col(family).alias("family"), F.col(cls).alias("cls"), F.col(key).alias("key"))
     rows = rows.withColumn("fh", hashed(salt, F.col("family").cast("string"))).withColumn("h", hashed(salt, F.col("key").cast("string")))
     rows = placed(rows, F.col("fh"), F.col("family"), F.col("h"), F.col("key")).select("family", "cls", "key", "place")
-    rows = cut(running(rows, ["family"], "place", nth=F.lit(1)))
+    rows = written(running(rows, ["family"], "place", nth=F.lit(1)))
     first = rows.where(F.col("nth") <= few)
     need = [F.count_if(F.col("cls") == c).alias(x) for c, x in names.items()]
     families = first.groupBy("family").agg(F.min("place").alias("place"), F.count("*").alias("all"), *need)
@@ -126,25 +126,25 @@ def whole_families(df: DataFrame, family: str, cls: str, key: str, quota: dict[s
     left, whole = dict(quota), []
     while True:
         fits = reduce(Column.__and__, (F.col(x) <= left[c] for c, x in names.items()), F.lit(True))
-        families = cut(families.where(fits))
+        families = written(families.where(fits))
         if not families.head(1):
             break
-        sums = cut(running(families, [], "place", **{f"s_{x}": F.col(x) for x in names.values()}))
+        sums = written(running(families, [], "place", **{f"s_{x}": F.col(x) for x in names.values()}))
         good = reduce(Column.__and__, (F.col(f"s_{x}") <= left[c] for c, x in names.items()), F.lit(True))
         whole.append(sums.where(good).select("family"))
         used = sums.where(good).agg(*(F.coalesce(F.max(f"s_{x}"), F.lit(0)).alias(x) for x in names.values())).first()
         left = {c: left[c] - used[x] for c, x in names.items()}
         families = sums.where(~good).select(*families.columns)
-    taken = cut(reduce(DataFrame.unionByName, whole)) if whole else rows.select("family").limit(0)
+    taken = written(reduce(DataFrame.unionByName, whole)) if whole else rows.select("family").limit(0)
     out = [first.join(taken, "family", "left_semi").select("key", "family", "cls", "place", F.lit(True).alias("whole"))]
 
     rest = rows.join(taken, "family", "left_anti").select("family", "cls", "key", "place")
     upto, last, got = -1, None, 0  # what is decided, and the family in which that ends, with its rows so far
     while open_ := {c: n for c, n in left.items() if n > 0}:
-        rest = cut(rest.where(F.col("place") > upto).where(F.col("cls").isin([*open_])))
+        rest = written(rest.where(F.col("place") > upto).where(F.col("cls").isin([*open_])))
         ranked = running(rest, ["family"], "place", nth=F.lit(1))
         ranked = ranked.where(F.col("nth") + F.when(F.col("family") == F.lit(last), got).otherwise(0) <= few) if last is not None else ranked.where(F.col("nth") <= few)
-        able = cut(running(ranked, ["cls"], "place", n=F.lit(1)))
+        able = written(running(ranked, ["cls"], "place", n=F.lit(1)))
         full = reduce(Column.__or__, ((F.col("cls") == c) & (F.col("n") == n) for c, n in open_.items()))
         end = able.where(full).agg(F.min("place")).first()[0]
         now = able if end is None else able.where(F.col("place") <= end)

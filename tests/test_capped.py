@@ -47,6 +47,22 @@ def test_round_robin(spark, n, sources, most, cap, budget, local):
     assert sorted(map(tuple, got.collect()), key=lambda r: r[3]) == plain_robin(rows, cap, budget)
 
 
+def digits(df):
+    """Of the planner's size in bytes."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().simpleString().split("=")[1].split()[0]
+    return int(size.split("E+")[1]) if "E+" in size else len(size)
+
+
+def test_sizes_stay_small_over_rounds(spark):
+    """Whatever the number of rounds: sizes of joins are products, so they may not be carried from one to the next."""
+    rows = weights(5, 150, 4, 60)
+    got = capped.round_robin(spark.createDataFrame(rows, "source string, id long, n int"), "source", "id", "n", 300, 1000, local_rows=0)
+    assert digits(got) < 200
+    families = [(f"f{i % 40}", "ab"[i % 3 == 0], i) for i in range(200)]
+    got = capped.whole_families(spark.createDataFrame(families, "family string, cls string, id long"), "family", "cls", "id", {"a": 31, "b": 17}, 4)
+    assert digits(got) < 200
+
+
 def test_nothing_to_pick(spark):
     got = capped.round_robin(spark.createDataFrame([], "source string, id long, n int"), "source", "id", "n", 10, 10)
     assert got.columns == ["id", "source", "weight", "place"] and got.collect() == []
