@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.lineage import written
+from ..plans.dialect import DUCK, SPARK, run
 from ..plans.reads import draws, reads
-from .registry import plan
+from .registry import plan, query
+
+#: Cells of equal width that values from 0 to 1 are counted in before one of them is sorted.
+CELLS = 1 << 16
 
 
 @plan("A01_pool_summary")
@@ -109,12 +117,15 @@ def score_mae(d):
     return f"""WITH {reads(d)} SELECT subset, round(avg(abs(expected - label)), 6) AS mae FROM rd WHERE type = 'score' GROUP BY subset"""
 
 
-@plan("A17_nonce_robustness")
-def nonce(d):
-    """Reads 1 and 2 as perturbed passes of read 0: by type and (all) over all types, with nearest-rank 95th percentiles at int(0.95 n)."""
+def _passes(d):
+    """Reads 1 and 2 as perturbed passes of read 0: w, a row for each of them."""
     return f"""WITH {reads(d)}, v AS (SELECT a.id, a.qid, a.type, b.rep, max(abs(a.p - b.p)) AS dp, sum(abs(a.p - b.p)) / 2 AS tv FROM rk a JOIN rk b ON a.id = b.id AND a.qid = b.qid AND a.k = b.k AND a.rep = 0 AND b.rep > 0 GROUP BY a.id, a.qid, a.type, b.rep),
     w AS (SELECT v.*, CASE WHEN x.pick = y.pick THEN 1 ELSE 0 END AS agree, CASE WHEN x.pick = x.label THEN 1 ELSE 0 END AS base_right, CASE WHEN y.pick = y.label THEN 1 ELSE 0 END AS pass_right
-      FROM v JOIN rd x ON v.id = x.id AND v.qid = x.qid AND x.rep = 0 JOIN rd y ON v.id = y.id AND v.qid = y.qid AND v.rep = y.rep),
+      FROM v JOIN rd x ON v.id = x.id AND v.qid = x.qid AND x.rep = 0 JOIN rd y ON v.id = y.id AND v.qid = y.qid AND v.rep = y.rep)"""
+
+
+def _nonce(d):
+    return f"""{_passes(d)},
     z AS (SELECT type AS area, w.* FROM w UNION ALL SELECT 'all', w.* FROM w), r AS (SELECT area, dp, tv, row_number() OVER (PARTITION BY area ORDER BY dp) - 1 AS i, row_number() OVER (PARTITION BY area ORDER BY tv) - 1 AS j, count(*) OVER (PARTITION BY area) AS n FROM z),
     p AS (SELECT area, max(CASE WHEN i = least(n - 1, {d.int('0.95 * n')}) THEN dp END) AS p95_dp, max(CASE WHEN j = least(n - 1, {d.int('0.95 * n')}) THEN tv END) AS p95_tv FROM r GROUP BY area),
     q AS (SELECT area, id, qid, min(agree) AS steady FROM z GROUP BY area, id, qid), f AS (SELECT area, avg(1e0 - steady) AS any_flip FROM q GROUP BY area)
@@ -124,6 +135,42 @@ def nonce(d):
     FROM z JOIN f ON z.area = f.area JOIN p ON z.area = p.area GROUP BY z.area"""
 
 
+def nearest_rank(values: DataFrame, area: str, value: Column, rank: str) -> DataFrame:
+    """area and value: the one of the rank (SQL over n, the rows of the area; from 0) in order, without sorting an area.
+
+    Values from 0 to 1 are counted by cells first; only the cell that holds the rank is put in order, equal values as one.
+    """
+    rows = values.select(area, value.alias("value"), F.floor(value * CELLS).alias("cell"))
+    upto, whole = Window.partitionBy(area).orderBy("cell"), Window.partitionBy(area)
+    cells = rows.groupBy(area, "cell").agg(F.count("*").alias("c")).select(area, "cell", "c", (F.sum("c").over(upto) - F.col("c")).alias("before"), F.sum("c").over(whole).alias("n"))
+    hit = cells.withColumn("i", F.expr(rank)).where("before <= i AND i < before + c").select(area, "cell", (F.col("i") - F.col("before")).alias("i"))
+    few = rows.join(F.broadcast(hit), [area, "cell"]).groupBy(area, "value").agg(F.count("*").alias("c"), F.first("i").alias("i"))  # hit: a row for each area
+    return few.withColumn("upto", F.sum("c").over(Window.partitionBy(area).orderBy("value"))).where("upto - c <= i AND i < upto").select(area, "value")
+
+
+@query("A17_nonce_robustness", _nonce(DUCK))
+def nonce(spark, sf_dir):
+    """Perturbed passes by type and (all) over all types, with nearest-rank 95th percentiles at int(0.95 n).
+
+    Passes are written once; types are summed before they are joined, so no task has the rows of a whole type.
+    """
+    w = written(run(spark, sf_dir, f"{_passes(SPARK)} SELECT id, qid, type, rep, dp, tv, agree, base_right, pass_right FROM w"))
+    areas = F.explode(F.array("type", F.lit("all"))).alias("area")
+    z = w.select(areas, *w.columns)
+    steady = w.groupBy("type", "id", "qid").agg(F.min("agree").alias("steady"))
+    flips = steady.select(areas, "steady").groupBy("area").agg(F.avg(1 - F.col("steady")).alias("any_flip"))
+    mean = lambda x: F.round(F.avg(x), 6)
+    right = lambda base, now: F.sum(F.when((F.col("base_right") == base) & (F.col("pass_right") == now), 1).otherwise(0))
+    sums = z.groupBy("area").agg(
+        mean("agree").alias("agreement"), mean("dp").alias("mean_dp"), mean("tv").alias("mean_tv"), mean("base_right").alias("accuracy_base"), mean("pass_right").alias("accuracy_passes"),
+        *(mean(F.when(F.col("rep") == i, F.col("pass_right"))).alias(f"accuracy_pass{i}") for i in (1, 2)), right(1, 0).alias("right_to_wrong"), right(0, 1).alias("wrong_to_right"))
+    out = sums.join(flips.withColumn("any_flip", F.round("any_flip", 6)), "area")
+    for x in ("dp", "tv"):
+        p95 = nearest_rank(z, "area", F.col(x), "least(n - 1, cast(floor(0.95 * n) as bigint))")
+        out = out.join(p95.select("area", F.round("value", 6).alias(f"p95_{x}")), "area")
+    return out.select("area", "agreement", "any_flip", "mean_dp", "p95_dp", "mean_tv", "p95_tv", "accuracy_base", "accuracy_passes", "accuracy_pass1", "accuracy_pass2", "right_to_wrong", "wrong_to_right")
+
+
 @plan("A18_p95_nearest_rank")
 def p95(d):
     return f"""WITH {reads(d)}, o AS (SELECT type, conf, row_number() OVER (PARTITION BY type ORDER BY conf) - 1 AS i, count(*) OVER (PARTITION BY type) AS n FROM rd)
