@@ -232,7 +232,11 @@ def byte_tokenizer(path: str) -> tiktoken.Encoding:
 
 #: A run of so many blanks is too long for the splitting pattern, whose matcher steps back over it.
 LONG_RUN = 100_000
-_LONG = regex.compile(f"[{SPACE}]{{{LONG_RUN},}}+")
+_RUN = regex.compile(f"[{SPACE}]{{2,}}+")  # the least length isn't part of it: compiled, a run of that many takes 67 MB in every worker
+
+
+def _long_runs(text: str) -> Iterator[regex.Match]:
+    return (m for m in _RUN.finditer(text) if m.end() - m.start() >= LONG_RUN)
 
 
 def encode_whole(t: tiktoken.Encoding, text: str) -> list[int]:
@@ -240,13 +244,13 @@ def encode_whole(t: tiktoken.Encoding, text: str) -> list[int]:
 
     A long run of blanks is a piece by itself, but for its last blank if something follows: that one belongs to the next piece.
     """
-    if len(text) < LONG_RUN or _LONG.search(text) is None:
+    if len(text) < LONG_RUN or next(_long_runs(text), None) is None:
         return t.encode(text, allowed_special="all")
     out: list[int] = []
     special = regex.compile("(" + "|".join(map(regex.escape, sorted(t.special_tokens_set, key=len, reverse=True))) + ")") if t.special_tokens_set else None
     for part in special.split(text) if special else [text]:
         at = 0
-        for run in _LONG.finditer(part):
+        for run in _long_runs(part):
             end = run.end() - (run.end() < len(part))
             out += t.encode(part[at : run.start()], allowed_special="all")
             out += t._encode_single_piece(part[run.start() : end])

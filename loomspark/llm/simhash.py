@@ -177,6 +177,8 @@ FIRST_BITS, TWO_BITS, ALL_BITS = 22, 40, 112
 #: at once; in larger ones each row is first linked to the NEAREST few, under the keys of its nearest codewords only, and then
 #: to all that these links left apart (so are pairs of such names under small keys).
 LARGE_BUCKET, SMALL_BUCKET, NEAREST = 20_000, 8, 2
+#: Fingerprints of a partition up to which its keys, 36 each at most for a pair of segments, are counted by sorting them.
+FEW_PRINTS = 1 << 14
 #: Comparisons that a task holds at a time.
 AT_ONCE = 1 << 20
 #: Counts by which shingles are put in order.
@@ -347,7 +349,12 @@ def _dealt(prints: DataFrame) -> DataFrame:
     def frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # One pair of segments at a time has 2^24 keys at most, whatever the partition holds.
         seen = [np.frombuffer(b"".join(b["fp"]), dtype="<u8").reshape(-1, WORDS) for b in batches if len(b)]
+        few = sum(map(len, seen)) <= FEW_PRINTS
         for p in range(PAIRS):
+            if few:  # sorted, these keys take less than a table of all
+                key, total = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *(pair_keys(fp, range(p, p + 1))[1] for fp in seen)]), return_counts=True)
+                yield pd.DataFrame({"key": key[total >= often], "c": total[total >= often].astype(np.int64)})
+                continue
             total = np.zeros(1 << 24, dtype=np.int32)
             for fp in seen:
                 np.add.at(total, pair_keys(fp, range(p, p + 1))[1] & 0xFFFFFF, 1)

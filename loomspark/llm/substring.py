@@ -49,7 +49,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _power_table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of ``base`` and of its inverse modulo 2^64, ``n`` or more of each."""
     if base not in _powers or len(_powers[base][0]) < n:
-        m = max(n, SLICE_BYTES + 1)
+        m = max(n, min(1 << n.bit_length(), SLICE_BYTES + 1))  # as workers stay, small slices shouldn't leave large tables behind
         made = []
         for b in (base, pow(base, -1, 1 << 64)):
             out = np.ones(m, dtype=np.uint64)
