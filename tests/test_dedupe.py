@@ -1,9 +1,12 @@
 """Texts are held against accepted texts only, ids ascending."""
 
+import random
 import re
+from pathlib import Path
 
 import duckdb
 
+from loomspark.functions.lineage import shared
 from loomspark.operators import registry
 
 
@@ -43,3 +46,20 @@ def test_dedupe(spark, tmp_path):
 def test_dedupe_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert registry.QUERIES["M15_dedupe"](spark, str(tmp_path)).collect() == []
+
+
+def written_by(spark, tmp_path, name):
+    """Rows of a query over unlike texts in eight files, and how much it left in the shared folder, as a share of the texts."""
+    r = random.Random(1)
+    rows = [(i, " ".join(f"{r.getrandbits(40):010x}" for _ in range(400))) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    folder = Path(shared(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = size()
+    n = registry.QUERIES[name](spark, str(tmp_path)).count()
+    return n, (size() - before) / sum(len(t) for _, t in rows)
+
+
+def test_texts_are_not_written(spark, tmp_path):
+    n, share = written_by(spark, tmp_path, "M15_dedupe")
+    assert n == 400 and share < 0.6
