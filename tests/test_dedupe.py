@@ -63,3 +63,8 @@ def written_by(spark, tmp_path, name):
 def test_texts_are_not_written(spark, tmp_path):
     n, share = written_by(spark, tmp_path, "M15_dedupe")
     assert n == 400 and share < 0.6
+
+
+def test_texts_of_near_copies_are_not_written(spark, tmp_path):
+    n, share = written_by(spark, tmp_path, "J06_near_copies")
+    assert n == 0 and share < 0.6
